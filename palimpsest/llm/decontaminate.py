@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import WORD_BYTES, chunks, cut, texts
+from palimpsest.llm.shared import WORD_BYTES, chunks, cut, sent, texts
 
 SHINGLE = 3
 #: Window text of one index, which is collected and sent to every executor.
@@ -138,10 +138,10 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Dat
 
 def _count(docs: DataFrame, text_col: str, index: Index) -> np.ndarray:
     """How often each key of ``index`` occurs in all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    known = sent(docs.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = known()
         total = np.zeros(len(index.keys_of_all), np.int64)
         for batch in batches:
             values = texts(batch.column(0))
@@ -160,13 +160,13 @@ def _count(docs: DataFrame, text_col: str, index: Index) -> np.ndarray:
 
 def _mark(docs: DataFrame, text_col: str, index: Index, items_of: list[list[str]], more: bool) -> DataFrame:
     """``docs`` with ``__n`` words, ``__spans`` (start, end alternating) and ``__items``; ``more``: docs has them already."""
-    sent = docs.sparkSession.sparkContext.broadcast((index, items_of))
+    known = sent(docs.sparkSession, (index, items_of))
     added = ["__n", "__spans", "__items"]
     kept = [c for c in docs.columns if not more or c not in added]
     at, schema = docs.columns.index(text_col), docs.select(*kept, F.lit(0).cast("long").alias("__n"), F.lit(None).cast("array<int>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, items_of = sent.value
+        index, items_of = known()
         for batch in batches:
             values = texts(batch.column(at))
             n_words, spans, items = [], [], []

@@ -195,7 +195,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = stats.where(~base_failed()).select(F.col(id_col).alias("id"), *COUNTS).join(known, "id").select(F.xxhash64("id").alias("order"), "id", "label", *COUNTS).toArrow()
+    rows = stats.select(F.col(id_col).alias("id"), *COUNTS).where(~base_failed()).join(known, "id").select(F.xxhash64("id").alias("order"), "id", "label", *COUNTS).toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("order", "id", "label", *COUNTS)])
     table = {c: rows.column(c).to_numpy() for c in COUNTS}
     return learn(table, rows.column("label").to_numpy() == 0, **options)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Maps A-Z to a-z and leaves every other byte, so UTF-8 stays valid.
@@ -39,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent(spark: SparkSession, value) -> Callable[[], object]:
+    """``value`` broadcast, to be called for in a task; classes of this package travel with it."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(data.value)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8; null reads as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

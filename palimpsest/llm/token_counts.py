@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import cut, texts
+from palimpsest.llm.shared import cut, sent, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this byte-pair vocabulary's texts are split before merging.
@@ -34,12 +34,12 @@ def ranks(path: str) -> dict[bytes, int]:
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(length, n_docs): how many texts have each number of tokens.  Null and empty texts have 0; repeated rows count each."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks(vocabulary))
+    known = sent(docs.sparkSession, ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known(), special_tokens={})
         total: dict[int, int] = {}
         for batch in batches:
             for text in texts(batch.column(0)):

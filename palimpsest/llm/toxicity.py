@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.linear import logistic, sigmoid
-from palimpsest.llm.shared import chunks, cut, texts
+from palimpsest.llm.shared import chunks, cut, sent, texts
 
-ORDERS = (3, 4, 5)
-BUCKETS = 1 << 21
+ORDERS = (3, 4, 5, 6)
+BUCKETS = 1 << 22
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 8192
 #: N-grams of the fitted model, at most: those whose counts tell the classes apart best.
@@ -56,7 +56,7 @@ def grams(points: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np
             across = (ends[:, None] - np.arange(n)).ravel()
             inside[across[(across >= 0) & (across < size)]] = False
             place = np.flatnonzero(inside)
-            yield place, ((total[place] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n)) >> np.uint64(43)).astype(np.int64)
+            yield place, ((total[place] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n)) >> np.uint64(42)).astype(np.int64)
 
 
 def present(values: list[bytes], slot: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -143,13 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic of each whole text; all rows and other columns stay."""
-    at, sent = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
+    at, known = docs.columns.index(text_col), sent(docs.sparkSession, model)
     schema = docs.select("*", F.lit(0.0).alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = sent.value.slots()
+        model = known()
+        slot = model.slots()
         for batch in batches:
-            scores = sent.value.scores(texts(batch.column(at)), slot)
+            scores = model.scores(texts(batch.column(at)), slot)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)

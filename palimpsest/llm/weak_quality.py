@@ -3,7 +3,8 @@
 A handful of heuristics each call a text good or bad or say nothing.  They overlap,
 so how often they agree tells how far each can be trusted: expectation-maximisation
 over the counts of vote patterns estimates an accuracy for each labeller and the
-share of good texts, with no true label.  All documents are counted; there are
+share of good texts, with no true label: how often it votes either way on good and on
+bad texts.  All documents are counted; there are
 ``3 ** len(LABELLERS)`` patterns at most, whatever the number of documents.
 
 The posterior of a text's pattern is the target on which a linear scorer is trained,
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.linear import logistic, sigmoid
 from palimpsest.llm.quality_rules import COUNTS, RATIOS, ratios, with_statistics
-from palimpsest.llm.shared import cut, texts
+from palimpsest.llm.shared import cut, sent, texts
 
 #: name, ratio, bad from this on (None: never calls bad), good below this (None: never calls good).
 #: Labellers that look for one kind of damage only call bad; the absence of that kind says little.
 LABELLERS = (
-    ("symbols", "symbols_per_word", 0.5, None),
+    ("symbols", "symbols_per_word", 0.25, None),
     ("shouting", "upper_share", 0.5, None),
     ("marks", "marks_per_word", 0.5, None),
     ("repetition", "repeat_share", 0.5, None),
@@ -39,7 +40,7 @@ LABELLERS = (
     ("fresh_words", "repeat_share", None, 0.2),
 )
 #: Texts that the scorer is trained on, at most.
-SAMPLE = 12_000
+SAMPLE = 5_000
 BUCKETS = 1 << 16
 
 
@@ -61,30 +62,41 @@ def votes(prefix: str = "") -> Column:
 
 @dataclass(frozen=True)
 class Trust:
-    """What EM found: each labeller's accuracy when it speaks, and the share of good texts."""
+    """What EM found: how often each labeller gives each vote (silent, good, bad) on good and on bad texts, and the share of good ones."""
 
-    accuracy: tuple[float, ...]
+    rates: np.ndarray
     good: float
 
+    def weights(self) -> np.ndarray:
+        """What each labeller's vote (silent, good, bad) adds to the log odds of being good; silence adds nothing."""
+        added = np.log(self.rates[..., 1] / self.rates[..., 0])
+        added[:, 0] = 0.0
+        return added
+
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """The chance of being good of each row of votes in {-1, 0, 1}."""
-        a = np.array(self.accuracy)
-        return sigmoid(patterns @ np.log(a / (1 - a)) + np.log(self.good / (1 - self.good)))
+        added = self.weights()[np.arange(patterns.shape[1]), patterns.astype(int)]
+        return sigmoid(added.sum(1) + np.log(self.good / (1 - self.good)))
+
+    def accuracy(self) -> np.ndarray:
+        """Of each labeller's votes, the expected share that is right."""
+        share = np.array([1 - self.good, self.good])
+        right = self.rates[:, 1, 1] * share[1] + self.rates[:, -1, 0] * share[0]
+        return right / np.maximum((self.rates[:, [1, -1], :] * share).sum((1, 2)), 1e-12)
 
 
 def estimate(patterns: np.ndarray, count: np.ndarray, steps: int = 200) -> Trust:
-    """EM over vote patterns and how many texts have them; starts from trust in all labellers alike."""
-    trust = Trust((0.75,) * patterns.shape[1], 0.8)
+    """EM over vote patterns and how many texts have them; it starts from texts that nobody calls bad being good."""
+    q = np.where((patterns < 0).any(1), 0.1, 0.9)
+    trust = None
     for _ in range(steps):
-        q = trust.posterior(patterns)
-        right = ((patterns > 0) * (count * q)[:, None] + (patterns < 0) * (count * (1 - q))[:, None]).sum(0)
-        spoke = ((patterns != 0) * count[:, None]).sum(0)
-        accuracy = np.clip((right + 3.0) / (spoke + 4.0), 0.55, 0.99)
-        good = float(np.clip((count * q).sum() / max(count.sum(), 1), 0.05, 0.95))
-        new = Trust(tuple(accuracy), good)
-        if np.abs(np.subtract(new.accuracy, trust.accuracy)).max() < 1e-7:
-            return new
-        trust = new
+        share = np.column_stack([count * (1 - q), count * q])
+        rates = np.stack([((patterns == v)[:, :, None] * share[:, None, :]).sum(0) + 0.5 for v in (0, 1, -1)], 1)
+        trust = Trust(rates / (share.sum(0) + 1.5), float(np.clip(share[:, 1].sum() / max(count.sum(), 1e-9), 0.02, 0.98)))
+        new = trust.posterior(patterns)
+        if len(q) == 0 or np.abs(new - q).max() < 1e-6:
+            break
+        q = new
     return trust
 
 
@@ -100,11 +112,10 @@ def learn_trust(marked: DataFrame) -> Trust:
 
 def posterior(trust: Trust) -> Column:
     """The posterior of a row's ``votes`` as an expression."""
-    a = np.array(trust.accuracy)
     total = F.lit(float(np.log(trust.good / (1 - trust.good))))
-    for k, w in enumerate(np.log(a / (1 - a))):
+    for k, (silent, good, bad) in enumerate(trust.weights().tolist()):
         vote = F.substring("votes", k + 1, 1)
-        total = total + F.when(vote == "+", float(w)).when(vote == "-", -float(w)).otherwise(0.0)
+        total = total + F.when(vote == "+", good).when(vote == "-", bad).otherwise(silent)
     return 1.0 / (1.0 + F.exp(-total))
 
 
@@ -130,7 +141,7 @@ def _levels(batch: pa.RecordBatch, prefix: str) -> np.ndarray:
     return np.column_stack(list(ratios(table).values()))
 
 
-def train(sample: DataFrame, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(sample: DataFrame, penalty: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights and intercept from ``sample`` (text, target, ``COUNTS``), in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +154,10 @@ def train(sample: DataFrame, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
                 row.append(np.full(len(b), n + k, np.int32)), bucket.append(b.astype(np.int32)), value.append(v.astype(np.float32))
             n += batch.num_rows
         if n:
-            w, b = logistic(np.concatenate(row), np.concatenate(bucket), np.concatenate(value), np.concatenate(target), np.ones(n), BUCKETS, penalty, 120)
+            w, b = logistic(np.concatenate(row), np.concatenate(bucket), np.concatenate(value), np.concatenate(target), np.ones(n), BUCKETS, penalty, 100)
             yield pa.RecordBatch.from_arrays([pa.array([w.tolist()]), pa.array([b])], ["w", "b"])
 
-    fitted = sample.select("text", "target", *COUNTS).coalesce(1).mapInArrow(run, "w array<double>, b double").first()
+    fitted = sample.select("text", "target", *COUNTS).repartition(1).mapInArrow(run, "w array<double>, b double").first()
     return (np.array(fitted["w"]), fitted["b"]) if fitted else (np.zeros(BUCKETS), 0.0)
 
 
@@ -164,13 +175,13 @@ def with_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = texts_.join(F.broadcast(some.select("id", "hash")), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
     weights, intercept = train(with_statistics(chosen.select("text")).withColumn("votes", votes()).withColumn("target", posterior(trust)))
 
-    sent = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), intercept))
+    known = sent(docs.sparkSession, (weights.astype(np.float32), intercept))
     prefixed = with_statistics(docs, text_col, "__")
     at = docs.columns.index(text_col)
     schema = prefixed.select("*", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercept = sent.value
+        weights, intercept = known()
         for batch in batches:
             levels, scores = _levels(batch, "__"), []
             for k, text in enumerate(texts(batch.column(at))):
