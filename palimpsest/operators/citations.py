@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.operators.graph import reliable
 
 #: Patterns of mentions and entries.
 NUMERIC = r"\[\d+(?:\s*[-,]\s*\d+)*\]"
@@ -123,11 +124,13 @@ def style_family(style: str | None) -> str | None:
 def issues(citations: DataFrame, references: DataFrame, style: str | None = None) -> DataFrame:
     """(doc_id, category, type, severity, citation, detail): a row for each issue.
 
-    All joins are on doc_id and a key within it.  ``style``: the style that the venue expects.
+    All joins are on doc_id and a key within it.  Both tables are computed once and kept,
+    since most categories read them.  ``style``: the style that the venue expects.
     """
     cites = citations.select("doc_id", F.col("position").alias("at"), "text", F.lower(T.text_of(F.col("citation_type"))).alias("kind"), cited_ids().alias("ids"))
+    cites = reliable(cites)
     refs = references.select("doc_id", "position", F.trim(T.text_of(F.col("id"))).alias("id"), T.text_of(F.col("raw_text")).alias("raw_text"), "authors", T.text_of(F.col("title")).alias("title"), T.text_of(F.col("year")).alias("year"), T.text_of(F.col("venue")).alias("venue"), T.text_of(F.col("doi")).alias("doi"))
-    refs = refs.withColumns({"names": reference_names(), "key": reference_key()})
+    refs = reliable(refs.withColumns({"names": reference_names(), "key": reference_key()}))
     found: list[DataFrame] = []
 
     def add(rows: DataFrame, category: str, kind: str, citation: Column | str, detail: Column | None = None, severity: str | None = None) -> None:
@@ -166,7 +169,7 @@ def issues(citations: DataFrame, references: DataFrame, style: str | None = None
 
     numbers = refs.where("id rlike '^[0-9]+$'").withColumn("n", F.col("id").cast("long"))
     top = numbers.groupBy("doc_id").agg(F.max("n").alias("top"))
-    gaps = top.where("top >= 1").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("top"))).cast("long").alias("n")).join(numbers.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_anti")
+    gaps = top.where("top >= 1").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top"))).alias("n")).join(numbers.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_anti")
     add(gaps, "numbering_issues", "missing_reference_number", bracket(F.col("n")))
     first = each.where("id rlike '^[0-9]+$'").groupBy("doc_id", "id").agg(F.min(F.struct("at", "k")).alias("first"))
     turn = first.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))).join(top, "doc_id", "left_semi")

@@ -105,12 +105,16 @@ def counter_cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(dot / (F.sqrt(square(a)) * F.sqrt(square(b))))
 
 
-def weighted_score() -> Column:
-    """The features' weighted sum, between 0 and 1, to four digits."""
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)).cast("double") * w for c, w in WEIGHTS.items()), F.lit(0.0))
+def weighted_score_of(names: tuple[str, ...]) -> Column:
+    """The weighted sum of those features that a table has, between 0 and 1, to four digits."""
+    total = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in WEIGHTS.items() if c in names), F.lit(0.0))
     return T.half_even(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
+def weighted_score() -> Column:
+    return weighted_score_of(NAMES)
+
+
 def label(threshold: float = SUSPICIOUS) -> Column:
     return F.when(weighted_score() >= threshold, "suspicious").otherwise("clean")
 

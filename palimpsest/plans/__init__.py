@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import overlap
+from palimpsest.plans import documents, overlap
 
-MODULES = (overlap,)
+MODULES = (overlap, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
