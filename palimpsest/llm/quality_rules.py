@@ -23,7 +23,7 @@ from palimpsest.llm.shared import cut, texts
 #: Labelled rows that rules are learned from, at most: those with the smallest hashed ids.
 SAMPLE = 50_000
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_chars")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_bytes")
 
 #: What rules look at: ratios, so that a rule means the same for long and short texts.
 RATIOS = {
@@ -67,8 +67,10 @@ def counts(text: bytes) -> tuple[int, ...]:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with ``COUNTS`` of each whole text, as long columns named with ``prefix``.  Null counts as empty."""
-    at, names = docs.columns.index(text_col), [prefix + c for c in COUNTS]
+    """``docs`` with ``COUNTS`` of each whole text, as long columns named with ``prefix``; they replace columns of these names.  Null counts as empty."""
+    names = [prefix + c for c in COUNTS]
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
+    at = docs.columns.index(text_col)
     schema = docs.select("*", *[F.lit(0).cast("long").alias(n) for n in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,12 +85,18 @@ def ratios(counts: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The score, in hundredths, from which on URLs are allowed, from scored rows with ``allow`` (true or false).  Without both classes: 0."""
+    """The score from which on URLs are allowed, from scored rows with ``allow`` (true or false).  Without both classes: 0.
+
+    Scores are counted in hundredths.  Of the gaps between counted ones, that with the best
+    balanced accuracy is cut in its middle; of equals the lowest.
+    """
     bins = scored.groupBy(F.greatest(F.lit(-2000), F.least(F.lit(2000), F.floor(F.col("score") * 100))).cast("int").alias("bin")).agg(F.sum(F.col("allow").cast("long")).alias("a"), F.sum((~F.col("allow")).cast("long")).alias("b"))
-    everything, below = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    everything, up = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("bin")
+    below = up.rowsBetween(Window.unboundedPreceding, -1)
     gain = F.coalesce(F.sum("b").over(below), F.lit(0)) / F.sum("b").over(everything) - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(everything)
-    best = bins.withColumn("gain", F.round(gain, 9)).orderBy(F.col("gain").desc_nulls_last(), "bin").first()
-    return best["bin"] / 100 if best and best["gain"] is not None else 0.0
+    middle = (F.col("bin") + F.coalesce(F.lag("bin").over(up), F.col("bin"))) / 200
+    best = bins.select("bin", F.round(F.when((F.sum("a").over(everything) > 0) & (F.sum("b").over(everything) > 0), gain), 9).alias("gain"), middle.alias("middle")).orderBy(F.col("gain").desc_nulls_last(), "bin").first()
+    return best["middle"] if best and best["gain"] is not None else 0.0
 
 
 def judged(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
