@@ -61,7 +61,7 @@ def grams(points: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 def present(values: list[bytes], slot: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, text, feature), each pair once, chunk by chunk; ``slot``: feature of a bucket, -1 for none."""
-    for a, b in chunks(values):
+    for a, b in chunks(values, 1 << 19):
         points, ends = codes(values[a:b])
         found = []
         for place, bucket in grams(points, ends):
@@ -98,7 +98,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, text, bucket in present(values):
             toxic = label[a + text] == 1
             for k in (0, 1):
-                total[k] += np.bincount(bucket[toxic == bool(k)], minlength=BUCKETS).astype(np.int32)
+                np.add.at(total[k], bucket[toxic == bool(k)], 1)
     some = np.flatnonzero(total.any(0))
     for s in range(0, len(some), 100_000):
         part = some[s : s + 100_000]
