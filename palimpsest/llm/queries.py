@@ -162,5 +162,50 @@ from coded""",
 }
 
 
+def _url_filter_sql() -> str:
+    """The models' smoothing, order by order, as common table expressions."""
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' or ends_with(host, '.{r.partition('/')[0]}')) and starts_with(path, '/{r.partition('/')[2]}')"
+    case = lambda k: "case " + " ".join(f"when {fits(r[1])} then '{r[k]}'" for r in rules) + " end"
+    levels = []
+    for n in range(1, url_filter.ORDER + 1):
+        base = f"""
+n{n} as (
+  select substr(gram, {url_filter.ORDER - n + 1}, {n}) g, sum(a) a, sum(b) b from counts group by 1),
+c{n} as (
+  select *, sum(a) over c a_all, sum(b) over c b_all, sum((a > 0)::int) over c a_kinds, sum((b > 0)::int) over c b_kinds from n{n} window c as (partition by substr(g, 1, {n - 1})))"""
+        if n == 1:
+            chance = lambda k: f"({k} + 1.0::double) / ({k}_all + {url_filter.ALPHABET}.0::double)"
+            levels.append(f"{base},\np1 as (select g, {chance('a')} pa, {chance('b')} pb from c1)")
+        else:
+            chance = lambda k: f"case when {k}_all = 0 then p.p{k} else ({k} + {k}_kinds * p.p{k}) / cast({k}_all + {k}_kinds as double) end"
+            levels.append(f"{base},\np{n} as (select c.g, {chance('a')} pa, {chance('b')} pb from c{n} c join p{n - 1} p on p.g = substr(c.g, 2))")
+    return rf"""
+with rests as (
+  select row_number() over () r, page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
+parts as (
+  select r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from rests),
+judged as (
+  select *, {case(1)} "rule", {case(0)} said, substr(md5(host || path), 1, 1) < '4' tested,
+    '^^^' || regexp_replace(regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^a-z0./_\-]', '?', 'g') || '$' spelt
+  from parts),
+grams as (select r, said, tested, substr(spelt, i, 4) gram from (select *, unnest(range(1, len(spelt) - 2)) i from judged)),
+counts as (
+  select gram, count(*) filter (said = 'allow' and not tested) a, count(*) filter (said = 'block' and not tested) b from grams group by 1),{",".join(levels)},
+scored as (select r, avg(ln(pa) - ln(pb)) score from grams join p4 on g = gram group by 1),
+bins as (
+  select greatest(-2000, least(2000, cast(floor(score * 100) as int))) bin, count(*) filter (said = 'allow') a, count(*) filter (said = 'block') b
+  from judged join scored using (r) where said is not null and tested group by 1),
+gains as (
+  select bin, (bin + coalesce(lag(bin) over (order by bin), bin)) / 200 middle,
+    case when sum(a) over () > 0 and sum(b) over () > 0 then round(coalesce(sum(b) over below, 0) / sum(b) over () - coalesce(sum(a) over below, 0) / sum(a) over (), 9) end gain
+  from bins window below as (order by bin rows between unbounded preceding and 1 preceding)),
+least_ as (select coalesce((select case when gain is null then 0 else middle end from gains order by gain desc nulls last, bin limit 1), 0) t)
+select page_id, host, path, "rule", coalesce(said, case when score >= t then 'allow' else 'block' end) verdict from judged join scored using (r), least_"""
+
+
+SQL["op5_url_filter"] = _url_filter_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
