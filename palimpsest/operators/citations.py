@@ -265,3 +265,9 @@ def fix_references(citations: DataFrame, references: DataFrame, drop_uncited: bo
     bracketed = (F.col("citation_type") == "numeric") | T.strip(F.col("text")).rlike(r"^\[.+\]$")
     cites = cites.withColumn("original_text", F.when(changed, F.col("text"))).withColumn("text", F.when(changed & bracketed, F.concat(F.lit("["), F.array_join("ids", ", "), F.lit("]"))).otherwise(F.col("text")))
     return cites.withColumn("reference_ids", F.when(changed, F.col("ids")).otherwise(F.col("reference_ids"))).drop("ids"), kept.drop("numbered", "turn", "old")
+
+
+def rewritten(text: Column, replacements: Column) -> Column:
+    """``text`` with every old text of ``replacements`` (array<struct<old, new>>) replaced by its new one, the longest first."""
+    ordered = F.array_sort(F.transform(replacements, lambda r: F.struct((-F.length(r["old"])).alias("l"), r["old"].alias("old"), r["new"].alias("new"))))
+    return F.aggregate(F.filter(ordered, lambda r: F.coalesce(r["old"], F.lit("")) != ""), text, lambda t, r: F.replace(t, r["old"], r["new"]))

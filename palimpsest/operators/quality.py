@@ -294,5 +294,6 @@ def replace_first(text: Column, original: Column, replacement: Column) -> Column
 def invented(original: Column, revised: Column) -> Column:
     """Numbers and citations in ``revised`` that ``original`` doesn't have: what a revision must not add."""
     pick = lambda c, p: F.array_distinct(F.regexp_extract_all(T.text_of(c), F.lit(p), F.lit(0)))
-    numbers, cites = r"\b\d+(?:\.\d+)?%?", r"\[\d+(?:\s*[-,]\s*\d+)*\]|\([A-Z][A-Za-z-]+(?:\s+et al\.)?,?\s*\d{4}[a-z]?\)"
+    numbers = r"\d+(?:[.,]\d+)*"
+    cites = r"(?i)\[(?:\d+(?:\s*[-,]\s*\d+)*)\]|\b[A-Z][A-Za-z-]+(?:\s+et al\.)?\s*\(\s*\d{4}[a-z]?\s*\)|\bdoi:\s*10\.\d{4,9}/\S+|10\.\d{4,9}/\S+"
     return F.concat(F.array_except(pick(revised, numbers), pick(original, numbers)), F.array_except(pick(revised, cites), pick(original, cites)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.arrow import fingerprint
-from palimpsest.operators import citations, compliance, duplicates, evaluation, features, journals, overlap, quality, state, structure
+from palimpsest.operators import citations, compliance, dashboard, duplicates, evaluation, features, journals, overlap, quality, state, structure
+from palimpsest.operators.graph import reliable
 from palimpsest.session import table
 
 #: Venue profiles and manuscripts of our own, for queries that no test table fits.
@@ -145,7 +146,7 @@ def journal_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "journal_id", "scope_score", F.array_join("topics", "|").alias("topics"), "match_status", "formatting_score", "suitability", "suitable", "rank")
 
 
-def readiness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ready(spark: SparkSession) -> DataFrame:
     rows, venues, issues = _assessed(spark)
     first = venues.where("journal_id = 'crops'")
     rows = quality.with_writing(quality.with_completeness(_with_profile(rows, first)))
@@ -154,7 +155,11 @@ def readiness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     required = F.col("required_sections")
     checks = [~F.col("word_limit_exceeded"), ~F.col("abstract_limit_exceeded"), ~F.col("keywords_required") | (F.size("keywords") > 0), F.size("uncaptioned_figures") == 0, F.size("uncaptioned_tables") == 0, F.size("unnumbered_equations") == 0]
     scored = scored.withColumns({"structure_score": F.bround(100.0 * F.size(F.array_intersect(required, quality.detected())) / F.size(required), 0).cast("int"), "citation_score": F.coalesce("citation_score", F.lit(0)), "formatting_score": F.bround(100.0 * sum((c.cast("int") for c in checks), F.lit(0)) / len(checks), 0).cast("int")})
-    return quality.with_quality(quality.readiness(scored)).select("doc_id", "quality_score", *quality.DIMENSIONS, "overall_readiness")
+    return quality.with_quality(quality.readiness(scored))
+
+
+def readiness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ready(spark).select("doc_id", "quality_score", *quality.DIMENSIONS, "overall_readiness")
 
 
 def improvement_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +168,20 @@ def improvement_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.improvements(full, issues, quality.writing_findings(rows))
 
 
+def prioritised_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.actions(improvement_list(spark, sf_dir), compliance_rules(spark, sf_dir).where("journal_id = 'crops'"))
+
+
+def dashboard_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = reliable(_ready(spark).select("doc_id", "overall_readiness", "completeness_score"))
+    nothing = ready.select("doc_id", F.lit(None).cast("double").alias("overall_similarity")).where("false")
+    return dashboard.indicators(ready, compliance_score(spark, sf_dir).where("journal_id = 'crops'"), ready, nothing, improvement_list(spark, sf_dir))
+
+
+def dimension_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.dimension_summary(_ready(spark), improvement_list(spark, sf_dir))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a score that is made of their length alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("score"))
@@ -284,7 +303,7 @@ def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     citation_mentions, citation_ranges, reference_parse, citation_issues, citation_fixes, section_segmentation, page_furniture, page_spans, methodology_checks, writing_findings,
-    compliance_rules, compliance_score, journal_ranking, readiness_scores, improvement_list, confusion_metrics, threshold_sweep, best_threshold, brier_score, precision_recall,
+    compliance_rules, compliance_score, journal_ranking, readiness_scores, improvement_list, prioritised_actions, dashboard_indicators, dimension_summary, confusion_metrics, threshold_sweep, best_threshold, brier_score, precision_recall,
     retrieval_ranks, retrieval_recall, leak_groups, group_split, logreg_scores, latest_state, folded_state, next_version, paged_listing, notifications, access_roles, named_rows,
     json_columns, version_diff,
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import arrow
 from palimpsest.functions import text as T
-from palimpsest.operators import citations, compliance, duplicates, evaluation, features, journals, overlap, quality, state, structure
+from palimpsest.operators import citations, compliance, dashboard, duplicates, evaluation, features, journals, overlap, quality, state, structure
 from palimpsest.plans import documents as plans
 from palimpsest.sources import files, sinks
 
@@ -318,6 +318,26 @@ def test_venues(spark):
     assert journals.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
 
 
+def test_dashboard(spark):
+    found = plans.prioritised_actions(spark, "").where("doc_id = 'm1'").orderBy("rank").collect()
+    assert found[0]["priority"] == "CRITICAL" and [r["rank"] for r in found] == list(range(1, len(found) + 1)) and len(found) <= 20
+    shown = {(r["doc_id"], r["key"]): r["available"] for r in plans.dashboard_indicators(spark, "").collect()}
+    assert len(shown) == 15 and shown[("m1", "readiness")] and not shown[("m1", "similarity")]
+    assert plans.dimension_summary(spark, "").count() == 39
+    rows = spark.createDataFrame([("d", "HIGH"), ("d", "LOW"), ("d", "HIGH")], "doc_id string, category string")
+    assert tuple(dashboard.priority_counts(rows).first()) == ("d", 0, 2, 0, 1)
+    documents = spark.createDataFrame([("d", "u", 1), ("e", "u", 2)], "doc_id string, user_id string, updated_at int")
+    ready = spark.createDataFrame([("d", 71)], "doc_id string, overall_readiness int")
+    got = dashboard.account_summary(documents, ready, rows).first()
+    assert (got["manuscripts"], got["analysed"], got["readiness_average"], got["open_suggestions"], got["urgent_suggestions"], got["recent"]) == (2, 1, 71, 3, 2, "e")
+    assert dashboard.searched(documents, " D ", "doc_id").count() == 1 and dashboard.searched(documents, "", "doc_id").count() == 2
+    levels = spark.createDataFrame([("factual", "LOW"), ("rule", "HIGH"), ("rule", "LOW")], "e string, p string").select(dashboard.confidence(F.col("e"), F.col("p")).alias("c"))
+    assert [r["c"] for r in levels.collect()] == ["high", "medium", "low"]
+    swaps = F.array(F.struct(F.lit("[1]").alias("old"), F.lit("[9]").alias("new")), F.struct(F.lit("[1], [2]").alias("old"), F.lit("[7]").alias("new")))
+    assert one(spark, citations.rewritten(F.lit("a [1], [2] b [1]"), swaps)) == "a [7] b [9]"
+    assert dashboard.engine_status(spark, False, True, False).where("status = 'available'").count() == 2
+
+
 # state, sources, sinks, streaming
 
 
