@@ -16,8 +16,8 @@ tables, each keyed by about 32 bits.
 Copies share a fingerprint, so tables hold distinct fingerprints only.  Buckets
 are counted before they are gathered.  A bucket above ``BLOCK`` fingerprints is
 cut into hashed blocks and every pair of blocks is a task's unit of its own, so
-no bucket is ever in one place and none is capped.  A unit returns a spanning
-forest of its links, not all pairs.
+no bucket is ever in one place and none is capped.  A unit returns a minimum
+spanning forest of its links, not all pairs.
 """
 
 from __future__ import annotations
@@ -90,30 +90,31 @@ def masks(radius: int, bits: int = 64, seed: int = 7) -> list[int]:
     return found
 
 
-def forest(prints: np.ndarray, radius: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links within ``radius`` would connect: one less than points, at most.
+def tree(prints: np.ndarray, radius: int, apart: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(i, j, bits): links that connect what all links within ``radius`` would connect, nearest pairs first (Prim's minimum spanning forest).
 
     ``apart``: 0 or 1 for each print; where given, only prints of different sides are compared.
     """
-    left = np.arange(len(prints))
-    found: list[tuple[int, int]] = []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            here = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[here]) <= radius
-            if apart is not None:
-                near &= apart[left] != apart[here]
-            if near.any():
-                queue += (reached := list(left[near]))
-                found += [(here, x) for x in reached]
-                left = left[~near]
+    far = 65
+    best, parent = np.full(len(prints), far, np.int16), np.zeros(len(prints), np.int64)
+    left = np.ones(len(prints), bool)
+    found: list[tuple[int, int, int]] = []
+    for _ in range(len(prints)):
+        here = int(np.argmin(np.where(left, best, far + 1)))
+        if best[here] <= radius:
+            found.append((int(parent[here]), here, int(best[here])))
+        left[here] = False
+        bits = np.bitwise_count(prints ^ prints[here]).astype(np.int16)
+        if apart is not None:
+            bits[apart == apart[here]] = far
+        nearer = left & (bits < best)
+        best[nearer], parent[nearer] = bits[nearer], here
     return found
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of units (equal ``unit_*`` columns) that follow each other; a unit may span batches."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())])
     rest: pa.Table | None = None
 
     def of(table: pa.Table) -> pa.RecordBatch:
@@ -123,16 +124,15 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
         ends = np.r_[starts[1:], len(keys)]
         pairs = starts[ends - starts == 2]
-        near = pairs[(np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= radius) & ((keys[pairs, 2] == keys[pairs, 3]) | (side[pairs] != side[pairs + 1]))]
-        a, b = [near], [near + 1]
+        bits = np.bitwise_count(prints[pairs] ^ prints[pairs + 1])
+        near = (bits <= radius) & ((keys[pairs, 2] == keys[pairs, 3]) | (side[pairs] != side[pairs + 1]))
+        found = [np.column_stack([pairs[near], pairs[near] + 1, bits[near]]).astype(np.int64)]
         for s, e in zip(starts, ends):
-            if e - s > 2:
-                cross = keys[s, 2] != keys[s, 3]
-                if found := forest(prints[s:e], radius, side[s:e] if cross else None):
-                    x = np.array(found) + s
-                    a.append(x[:, 0]), b.append(x[:, 1])
-        ends_of = [prints[np.concatenate(x).astype(int)].view(np.int64) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in ends_of], schema=schema)
+            if e - s > 2 and (links_ := tree(prints[s:e], radius, side[s:e] if keys[s, 2] != keys[s, 3] else None)):
+                found.append(np.array(links_, np.int64) + [s, s, 0])
+        i, j, d = np.concatenate(found).T
+        a, b = (prints[k].view(np.int64) for k in (i, j))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], schema=schema)
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -150,7 +150,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 
 def links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): links among the distinct fingerprints of column ``fp`` that connect all pairs within ``radius`` bits."""
+    """(a, b, bits): links among the distinct fingerprints of column ``fp`` that connect all pairs within ``radius`` bits."""
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("m")) for t, m in enumerate(masks(radius))])
     signed = prints.select("fp", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
     full = signed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
@@ -163,7 +163,7 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
         .repartition("t", "key", "p", "q")
         .sortWithinPartitions("t", "key", "p", "q")
     )
-    return units.mapInArrow(lambda batches: _links(batches, radius), "a long, b long").distinct()
+    return units.mapInArrow(lambda batches: _links(batches, radius), "a long, b long, bits int").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,18 +198,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width=width).select("id", "fingerprint"))
     least = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("first")))
-    labels = components(links(least.select(F.col("fingerprint").alias("fp")), radius))
+    labels = components(links(least.select(F.col("fingerprint").alias("fp")), radius).select("a", "b"))
     joined = least.join(labels, least["fingerprint"] == labels["id"], "left").select("fingerprint", "first", F.coalesce("label", "fingerprint").alias("group"))
     component = joined.join(joined.groupBy("group").agg(F.min("first").alias("component_id")), "group").select("fingerprint", "component_id")
     return rows.join(component, "fingerprint", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+def similarity(a: bytes, b: bytes, width: int) -> float:
+    """Jaccard similarity of the sets of shingles; 1 for two texts without words."""
+    x, y = (np.unique(shingle_hashes(t, width)) for t in (a, b))
+    shared = len(np.intersect1d(x, y, True))
+    return shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0
+
+
+def _alike(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, x, y) whose texts x and y are alike, as (a, b)."""
+    for batch in batches:
+        keep = pa.array([similarity(x, y, width) >= least for x, y in zip(texts(batch.column(2)), texts(batch.column(3)))], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, sure: int = 4, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id, then the smallest text hash.
 
-    Columns are those of ``docs``, whatever their names.  Null ids come last.  Of rows that
-    agree in id and text, one stays.  Only keys are gathered; texts are shuffled once, for
-    the semi-join that keeps the chosen rows.
+    Fingerprints that differ in at most ``sure`` bits are linked.  Groups that come closer
+    than ``radius`` bits are joined if the two texts' sets of ``width``-word shingles have a
+    Jaccard similarity of ``least`` or more; their nearest texts are compared, one pair for
+    two groups.  Columns are those of ``docs``, whatever their names.  Null ids come last.  Of
+    rows that agree in id and text, one stays.  Only keys are gathered; texts are shuffled
+    for the few pairs to compare and once for the semi-join that keeps the chosen rows.
     """
     names = docs.columns
     key = ["__null", "__id", "__hash"]
@@ -217,7 +234,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     order = F.struct("__null", F.col(id_col).alias("i"), "__id", "__hash")
     slim = keyed.select(F.col(text_col).alias("text"), order.alias("o"))
     first = cut(with_fingerprint(slim, width=width, out="fp").groupBy("fp").agg(F.min("o").alias("o")))
-    labels = components(links(first.select("fp"), radius))
-    chosen = first.join(labels, first["fp"] == labels["id"], "left").groupBy(F.coalesce("label", "fp")).agg(F.min("o").alias("o")).select("o.__null", "o.__id", "o.__hash")
+    near = cut(links(first.select("fp"), radius))
+    labels = cut(components(near.where(F.col("bits") <= sure).select("a", "b")))
+    group = lambda rows, end, out: rows.join(labels.select(F.col("id").alias(end), "label"), end, "left").withColumn(out, F.coalesce("label", end)).drop("label")
+    open_ = group(group(near.where(F.col("bits") > sure), "a", "ga"), "b", "gb").where("ga <> gb")
+    nearest = open_.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.min(F.struct("bits", "a", "b")).alias("l")).select("g", "h", "l.a", "l.b")
+    wanted = nearest.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(first, "fp").select("fp", "o.__null", "o.__id", "o.__hash")
+    some = keyed.select(*key, F.col(text_col).alias("text")).join(wanted, key).groupBy("fp").agg(F.first("text").alias("text"))
+    x, y = some.select(F.col("fp").alias("a"), F.col("text").alias("x")), some.select(F.col("fp").alias("b"), F.col("text").alias("y"))
+    joined = nearest.join(x, "a").join(y, "b").select("g", "h", "x", "y").mapInArrow(lambda batches: _alike(batches, width, least), "a long, b long")
+    more = components(joined)
+    labelled = first.join(labels, first["fp"] == labels["id"], "left").select("fp", "o", F.coalesce("label", "fp").alias("g"))
+    labelled = labelled.join(more, labelled["g"] == more["id"], "left").select("o", F.coalesce("label", "g").alias("g"))
+    chosen = labelled.groupBy("g").agg(F.min("o").alias("o")).select("o.__null", "o.__id", "o.__hash")
     same = Window.partitionBy(*key).orderBy(F.lit(0))
     return keyed.join(chosen, key, "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*names)
