@@ -121,13 +121,42 @@ def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("item_id"), "term", F.round("weight", 6).alias("weight"))
 
 
+def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items against the item after each."""
+    items = table(spark, sf_dir, "benchmark")
+    vectors = features.tfidf(items, "item_id", "text", most=None)
+    pairs = items.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"))
+    return features.tfidf_cosine(pairs, vectors, vectors)
+
+
+def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted score of matched pairs from the features that need no model."""
+    rows = features.lexical(_pairs(spark, sf_dir))
+    names = ("word_overlap", "char_overlap", "distinctive_phrase_ratio")
+    return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph_index", "sentence_index")], "source_id", F.col("source_sentence").cast("long").alias("source_sentence"), F.round(sum((F.col(c) * features.WEIGHTS[c] for c in names), F.lit(0.0)), 6).alias("score"))
+
+
+def classifier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten candidates of each passage, which a classifier would score."""
+    rows = overlap.candidates(_scored(spark, sf_dir), _corpus(spark, sf_dir), most=10)
+    return rows.groupBy("source_id").agg(F.count("*").alias("candidates"), F.max("shared").alias("most_shared"))
+
+
+def offset_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 100 characters of the benchmark's items, and the page on which each sentence starts."""
+    spans = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 100).cast("int")), lambda k: F.struct((k + 1).alias("page"), (k * 100).alias("start"), ((k + 1) * 100).alias("end")))
+    pages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), spans.alias("spans"))
+    rows = _corpus(spark, sf_dir).join(pages, "source_id")
+    return rows.select("source_id", F.col("source_sentence").cast("long").alias("source_sentence"), overlap.page_of(F.col("spans"), F.col("source_start")).cast("long").alias("page"))
+
+
 def semantic_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), features.unit(F.col("embedding")).alias("vector"))
     found = features.best_match(vectors.where("id % 20 = 0"), vectors.where("id % 20 <> 0"), threshold=-1.0)
     return found.select("query_id", "corpus_id", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = (sentence_split, token_stats, word_ngram_topk, passage_windows, html_text_scan, boilerplate_and_exclusions, candidate_pairs, alignment_scores, match_report, source_summary, document_overlap, match_warnings, exact_duplicates, near_duplicates, duplicate_groups, lexical_features, exact_phrases, tfidf_terms, semantic_best_match)
+QUERIES = (sentence_split, token_stats, word_ngram_topk, passage_windows, html_text_scan, boilerplate_and_exclusions, candidate_pairs, alignment_scores, match_report, source_summary, document_overlap, match_warnings, exact_duplicates, near_duplicates, duplicate_groups, lexical_features, exact_phrases, tfidf_terms, tfidf_cosine, weighted_score, classifier_candidates, offset_to_page, semantic_best_match)
 
 _ALNUM = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _SHINGLED = f"""
@@ -140,6 +169,30 @@ jac as (
 _GRAMS = lambda c, n: f"list_transform(range(1, len({c}) - {n - 1} + 1), lambda i: array_to_string({c}[i : i + {n - 1}], ' '))"
 _CHARS = lambda c, n: f"list_transform(range(1, len({c}) - {n - 1} + 1), lambda i: substr({c}, i, {n}))"
 
+_TFIDF = r"""
+w as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') w from benchmark),
+t as (
+  select item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) term from w),
+tf as (select item_id, term, count(*) tf from t group by 1, 2),
+df as (select term, count(*) df from tf group by 1),
+x as (select item_id, term, tf * (ln((1 + (select count(*) from benchmark where trim(text) <> '')) / (1 + df)) + 1) v from tf join df using (term)),
+vectors as (select item_id, term, v / sqrt(sum(v * v) over (partition by item_id)) weight from x)"""
+_LEXICAL = f"""
+t as (
+  select a.doc_id, a.paragraph_index, a.sentence_index, a.source_id, a.source_sentence, c.tokens x, p.tokens y,
+    lower(trim(regexp_replace(c.text, '\\s+', ' ', 'g'))) s, lower(trim(regexp_replace(p.text, '\\s+', ' ', 'g'))) u
+  from aligned a join passages p using (doc_id, paragraph_index, sentence_index) join corpus c using (source_id, source_sentence)),
+g as (
+  select *, list_distinct(list_concat(x, {_GRAMS('x', 2)})) gx, list_distinct(list_concat(y, {_GRAMS('y', 2)})) gy,
+    list_distinct(list_concat({_CHARS('s', 3)}, {_CHARS('s', 4)}, {_CHARS('s', 5)})) cx, list_distinct(list_concat({_CHARS('u', 3)}, {_CHARS('u', 4)}, {_CHARS('u', 5)})) cy
+  from t),
+lexical as (
+  select doc_id, cast(paragraph_index as bigint) paragraph_index, cast(sentence_index as bigint) sentence_index, source_id, cast(source_sentence as bigint) source_sentence,
+    round_even(len(list_intersect(gx, gy)) / len(list_distinct(list_concat(gx, gy))), 4) word_overlap, round_even(len(list_intersect(cx, cy)) / len(list_distinct(list_concat(cx, cy))), 4) char_overlap,
+    round_even((len(list_distinct(list_concat(x, y))) - len(list_intersect(list_distinct(x), list_distinct(y)))) / len(list_distinct(list_concat(x, y))), 4) distinctive_phrase_ratio,
+    least(len(x), len(y)) / greatest(len(x), len(y)) passage_length_ratio
+  from g)"""
+
 SQL = {
     "sentence_split": f"""
 with recursive {PASSAGES}
@@ -199,29 +252,19 @@ from (select *, min(doc_id) over (partition by coalesce(text, '')) first_ from d
 with recursive {_SHINGLED.replace('LEAST_WORDS', '0')},
 reach(a, b) as (select a, b from jac union select r.a, j.b from reach r join jac j on r.b = j.a)
 select d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) group_id from documents d left join reach r on r.a = d.doc_id group by d.doc_id""",
-    "lexical_features": f"""
-with recursive {PASSAGES}, {ALIGNED},
-t as (
-  select a.doc_id, a.paragraph_index, a.sentence_index, a.source_id, a.source_sentence, c.tokens x, p.tokens y,
-    lower(trim(regexp_replace(c.text, '\\s+', ' ', 'g'))) s, lower(trim(regexp_replace(p.text, '\\s+', ' ', 'g'))) u
-  from aligned a join passages p using (doc_id, paragraph_index, sentence_index) join corpus c using (source_id, source_sentence)),
-g as (
-  select *, list_distinct(list_concat(x, {_GRAMS('x', 2)})) gx, list_distinct(list_concat(y, {_GRAMS('y', 2)})) gy,
-    list_distinct(list_concat({_CHARS('s', 3)}, {_CHARS('s', 4)}, {_CHARS('s', 5)})) cx, list_distinct(list_concat({_CHARS('u', 3)}, {_CHARS('u', 4)}, {_CHARS('u', 5)})) cy
-  from t)
-select doc_id, cast(paragraph_index as bigint) paragraph_index, cast(sentence_index as bigint) sentence_index, source_id, cast(source_sentence as bigint) source_sentence,
-  round_even(len(list_intersect(gx, gy)) / len(list_distinct(list_concat(gx, gy))), 4) word_overlap, round_even(len(list_intersect(cx, cy)) / len(list_distinct(list_concat(cx, cy))), 4) char_overlap,
-  round_even((len(list_distinct(list_concat(x, y))) - len(list_intersect(list_distinct(x), list_distinct(y)))) / len(list_distinct(list_concat(x, y))), 4) distinctive_phrase_ratio,
-  least(len(x), len(y)) / greatest(len(x), len(y)) passage_length_ratio
-from g""",
-    "tfidf_terms": r"""
-with w as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') w from benchmark),
-t as (
-  select item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) term from w),
-tf as (select item_id, term, count(*) tf from t group by 1, 2),
-df as (select term, count(*) df from tf group by 1),
-x as (select item_id, term, tf * (ln((1 + (select count(*) from benchmark where trim(text) <> '')) / (1 + df)) + 1) v from tf join df using (term))
-select item_id, term, round(v / sqrt(sum(v * v) over (partition by item_id)), 6) weight from x""",
+    "lexical_features": f"with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL} select * from lexical",
+    "weighted_score": f"""
+with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL}
+select doc_id, paragraph_index, sentence_index, source_id, source_sentence, round(0.0 + word_overlap * 0.20::double + char_overlap * 0.10::double + distinctive_phrase_ratio * 0.05::double, 6) score from lexical""",
+    "classifier_candidates": f"""
+with recursive {PASSAGES}, {ALIGNED} select source_id, count(*) candidates, max(shared) most_shared from ranked where candidate_rank <= 10 group by 1""",
+    "tfidf_terms": f"with {_TFIDF} select item_id, term, round(weight, 6) weight from vectors",
+    "tfidf_cosine": f"""
+with {_TFIDF}, d as (select p.item_id a, sum(p.weight * q.weight) dot from vectors p join vectors q on q.item_id = p.item_id + 1 and p.term = q.term group by 1)
+select item_id a, item_id + 1 b, round_even(coalesce(dot, 0.0), 4) tfidf_cosine from benchmark left join d on a = item_id""",
+    "offset_to_page": f"""
+with recursive {PASSAGES}, starts as (select source_id, source_sentence, instr(b.text, c.text) - 1 st from corpus c join benchmark b on b.item_id = c.source_id)
+select source_id, cast(source_sentence as bigint) source_sentence, cast(st // 100 + 1 as bigint) page from starts""",
     "semantic_best_match": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
 s as (
