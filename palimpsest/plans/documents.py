@@ -9,6 +9,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions.arrow import fingerprint
 from palimpsest.operators import citations, compliance, dashboard, duplicates, evaluation, features, journals, overlap, quality, state, structure
 from palimpsest.operators.graph import reliable
+from palimpsest.plans.overlap import GROUPS
 from palimpsest.session import table
 
 #: Venue profiles and manuscripts of our own, for queries that no test table fits.
@@ -320,6 +321,11 @@ _CELLS = "count(*) filter (s >= t and l = 1) tp, count(*) filter (s >= t and l <
 _LINES = "lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 k from documents)"
 _any = lambda col, words: "(" + " or ".join(f"contains({col}, '{w}')" for w in words) + ")"
 _MISSING = ", ".join(f"case when not regexp_matches(t, '{p}') then '{n}' end" for n, p in quality.METHOD_CHECKS.items())
+_RANKS = r"""
+sets as (select doc_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+(?:[''’\-][A-Za-z0-9]+)*'), lambda x: lower(x))) w from documents),
+tokens as (select doc_id, len(w) n, unnest(w) t from sets),
+shared as (select a.doc_id q, b.doc_id c, a.n, b.n m, count(*) k from tokens a join tokens b using (t) where a.doc_id % 20 = 0 and b.doc_id % 20 <> 0 group by all),
+ranks as (select q query_id, c corpus_id, k / (n + m - k) similarity, row_number() over (partition by q order by k / (n + m - k) desc, c) "rank" from shared)"""
 
 SQL = {
     "citation_mentions": f"""
@@ -398,12 +404,12 @@ select threshold, f1 from f order by f1 desc, threshold desc limit 1""",
     "precision_recall": f"""
 with {_SCORED}, g as (select s threshold, sum((l = 1)::int) hits, count(*) n from scored group by 1)
 select threshold, sum(hits) over (order by threshold desc) / sum(n) over (order by threshold desc) "precision", sum(hits) over (order by threshold desc) / sum(hits) over () recall from g""",
-    "retrieval_ranks": r"""
-with d as (select doc_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+(?:[''’\-][A-Za-z0-9]+)*'), lambda x: lower(x))) w from documents),
-x as (select doc_id, len(w) n, unnest(w) t from d),
-p as (select a.doc_id q, b.doc_id c, a.n, b.n m, count(*) k from x a join x b using (t) where a.doc_id % 20 = 0 and b.doc_id % 20 <> 0 group by all),
-r as (select q query_id, c corpus_id, k / (n + m - k) similarity, row_number() over (partition by q order by k / (n + m - k) desc, c) "rank" from p)
-select * from r where "rank" <= 5""",
+    "retrieval_ranks": f'with {_RANKS} select * from ranks where "rank" <= 5',
+    "retrieval_recall": f"""
+with recursive {GROUPS}, {_RANKS},
+truth as (select a.doc_id query_id, b.doc_id corpus_id from groups a join groups b using (group_id) where a.doc_id % 20 = 0 and b.doc_id % 20 <> 0)
+select count(*) queries, avg(case when "rank" <= 1 then 1.0 else 0.0 end) recall_at_1, avg(case when "rank" <= 5 then 1.0 else 0.0 end) recall_at_5, avg(case when "rank" <= 10 then 1.0 else 0.0 end) recall_at_10
+from truth left join ranks using (query_id, corpus_id)""",
     "latest_state": """
 select user_id, max(ts) ts, arg_max(event_id, (ts, event_id)) event_id, arg_max(event_type, (ts, event_id)) event_type, arg_max("value", (ts, event_id)) "value" from events group by 1""",
     "folded_state": """

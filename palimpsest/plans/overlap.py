@@ -166,6 +166,10 @@ sz as (select doc_id, count(*) n from sh group by 1),
 jac as (
   select x.doc_id a, y.doc_id b from sh x join sh y using (s) join sz m on m.doc_id = x.doc_id join sz n on n.doc_id = y.doc_id
   where x.doc_id <> y.doc_id group by 1, 2, m.n, n.n having count(*) >= 0.8 * (m.n + n.n - count(*)))"""
+#: groups: doc_id and group_id, the components of near duplicates.
+GROUPS = f"""{_SHINGLED.replace('LEAST_WORDS', '0')},
+reach(a, b) as (select a, b from jac union select r.a, j.b from reach r join jac j on r.b = j.a),
+groups as (select d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) group_id from documents d left join reach r on r.a = d.doc_id group by d.doc_id)"""
 _GRAMS = lambda c, n: f"list_transform(range(1, len({c}) - {n - 1} + 1), lambda i: array_to_string({c}[i : i + {n - 1}], ' '))"
 _CHARS = lambda c, n: f"list_transform(range(1, len({c}) - {n - 1} + 1), lambda i: substr({c}, i, {n}))"
 
@@ -248,10 +252,7 @@ from matches where classification in ('suspected_unattributed', 'quotation', 'at
 select doc_id, sha256(coalesce(text, '')) sha256, first_ duplicate_of
 from (select *, min(doc_id) over (partition by coalesce(text, '')) first_ from documents) where doc_id > first_""",
     "near_duplicates": f"with {_SHINGLED.replace('LEAST_WORDS', '1')} select a doc_id, min(b) near_duplicate_of from jac group by 1",
-    "duplicate_groups": f"""
-with recursive {_SHINGLED.replace('LEAST_WORDS', '0')},
-reach(a, b) as (select a, b from jac union select r.a, j.b from reach r join jac j on r.b = j.a)
-select d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) group_id from documents d left join reach r on r.a = d.doc_id group by d.doc_id""",
+    "duplicate_groups": f"with recursive {GROUPS} select * from groups",
     "lexical_features": f"with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL} select * from lexical",
     "weighted_score": f"""
 with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL}
