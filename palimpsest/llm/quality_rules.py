@@ -188,16 +188,18 @@ def verdict(rules: list[Rule], prefix: str = "") -> Column:
     return decided.otherwise(True)
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, **options) -> list[Rule]:
-    """Rules from ``stats`` (id and ``COUNTS``) and ``labels`` (1 good, 0 bad; null rows don't count).
+def sampled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(id, label): the labelled rows (1 good, 0 bad; null ids and labels don't count) with the smallest hashed ids, ``sample`` at most."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    return known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+
 
-    Texts that fail the base rules are left out: the list never decides on them.  At most
-    ``sample`` labelled rows are used, those with the smallest hashed ids; each is a few
-    numbers, which are collected.
+def fit(stats: DataFrame, known: DataFrame, id_col: str = "doc_id", **options) -> list[Rule]:
+    """Rules from ``stats`` (id and ``COUNTS``) and ``known`` (see ``sampled``), which is bounded; a row is a few numbers, which are collected.
+
+    Texts that fail the base rules are left out: the list never decides on them.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = stats.select(F.col(id_col).alias("id"), *COUNTS).where(~base_failed()).join(known, "id").select(F.xxhash64("id").alias("order"), "id", "label", *COUNTS).toArrow()
+    rows = stats.select(F.col(id_col).alias("id"), *COUNTS).where(~base_failed()).join(F.broadcast(known), "id").select(F.xxhash64("id").alias("order"), "id", "label", *COUNTS).toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("order", "id", "label", *COUNTS)])
     table = {c: rows.column(c).to_numpy() for c in COUNTS}
     return learn(table, rows.column("label").to_numpy() == 0, **options)
@@ -210,13 +212,13 @@ def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     as often as they come; without labels of both kinds only the base rules decide.
     """
     stats = cut(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).drop("text"))
-    rules = fit(stats, labels.withColumnRenamed(id_col, "id"), "id", **options)
+    rules = fit(stats, sampled(labels, id_col), "id", **options)
     return stats.select(F.col("id").alias(id_col), *COUNTS, base_failed().alias("base_failed"), verdict(rules).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor the learned list rejects, with the columns of ``docs``."""
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    stats = cut(with_statistics(some).drop("text"))
-    rules = fit(stats, labels.select(F.col(id_col).alias("id"), label_col), "id", label_col, **options)
+    known = cut(sampled(labels, id_col, label_col))
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("id").distinct()), "id", "left_semi")
+    rules = fit(with_statistics(some).drop("text"), known, "id", **options)
     return with_statistics(docs, text_col, "__").where(verdict(rules, "__")).select(*docs.columns)
