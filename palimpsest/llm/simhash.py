@@ -18,6 +18,12 @@ are counted before they are gathered.  A bucket above ``BLOCK`` fingerprints is
 cut into hashed blocks and every pair of blocks is a task's unit of its own, so
 no bucket is ever in one place and none is capped.  A unit returns a minimum
 spanning forest of its links, not all pairs.
+
+``keep_one`` promises a Jaccard similarity, which fingerprints bound badly (texts at 0.8
+differ in about ten bits, and covering ten bits takes 2,047 tables).  Its candidates are
+texts that share a band of ``ROWS`` least values of their shingle sets (MinHash): one of
+``BANDS`` bands is shared with a chance of 0.99993 at 0.8, and more above.  The candidates
+are compared by their texts.
 """
 
 from __future__ import annotations
@@ -36,6 +42,14 @@ from palimpsest.llm.shared import ASCII_LOWER, cut, texts
 #: Fingerprints of a bucket that are compared as one unit.
 BLOCK = 2048
 
+#: Bands of a shingle set's sketch, and least values in each.
+BANDS, ROWS = 24, 5
+
+#: What the share of equal sketch bytes may fall below the similarity: five standard deviations at 0.8.
+SLACK = 0.18
+
+_XOR, _ODD = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+
 #: Row b holds the eight bits of byte b, lowest first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -218,34 +232,143 @@ def _alike(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, sure: int = 4, least: float = 0.8) -> DataFrame:
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least value of the distinct ``shingles`` under each of BANDS * ROWS permutations of 64-bit integers."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, ((shingles[at : at + 4096, None] ^ _XOR) * _ODD).min(0))
+    return least
+
+
+def with_sketch(docs: DataFrame, width: int, prints: bool) -> DataFrame:
+    """Rows (text, o) as (o, node, fp, n, bands, sketch).
+
+    ``node``: hash of the shingle set; ``n``: its size; ``fp``: the fingerprint, where ``prints`` asks for it.
+    """
+    schema = docs.select("o", *[F.lit(0).cast("long").alias(c) for c in ("node", "fp", "n")], F.array(F.lit(0).cast("long")).alias("bands"), F.lit(b"").alias("sketch")).schema
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in texts(batch.column(0)):
+                own = np.unique(shingle_hashes(text, width))
+                least = sketch(own)
+                bands = (least.reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(1, np.uint64).view(np.int64)
+                node = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)
+                rows.append((int(node), fingerprint(text, width) if prints else 0, len(own), bands.tolist(), (least & np.uint64(255)).astype(np.uint8).tobytes()))
+            columns = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, columns, kinds)], ["o", "node", "fp", "n", "bands", "sketch"])
+
+    return docs.select("text", "o").mapInArrow(run, schema)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], least: float, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different groups in a unit whose sizes and sketches allow a similarity of ``least``.
+
+    All pairs, or for each node the ``nearest`` by its sketch.
+    """
+    rest: pa.Table | None = None
+
+    def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = np.column_stack([table.column(c).to_numpy() for c in ("t", "key", "p", "q")])
+        node, group, side, n = (table.column(c).to_numpy() for c in ("node", "g", "side", "n"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+        found, held = [], 0
+        for s, e in zip(starts, np.r_[starts[1:], len(keys)]):
+            for i in range(s, e if nearest else e - 1):
+                other = np.arange(s if nearest else i + 1, e)
+                fits = (group[other] != group[i]) & (np.minimum(n[other], n[i]) >= least * np.maximum(n[other], n[i]))
+                if keys[s, 2] != keys[s, 3]:
+                    fits &= side[other] != side[i]
+                other = other[fits]
+                share = (sketches[other] == sketches[i]).mean(1)
+                other, share = other[share >= least - SLACK], share[share >= least - SLACK]
+                if nearest and len(other):
+                    other = other[[np.argmax(share)]]
+                if len(other):
+                    found.append(np.column_stack([np.minimum(node[other], node[i]), np.maximum(node[other], node[i])]))
+                    held += len(other)
+            if found and (held > 100_000 or e == len(keys)):
+                a, b = np.unique(np.concatenate(found), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                found, held = [], 0
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        if not table.num_rows:
+            continue
+        same = np.logical_and.reduce([k == k[-1] for k in (table.column(c).to_numpy() for c in ("t", "key", "p", "q"))])
+        whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if whole:
+            yield from of(table.slice(0, whole))
+        rest = table.slice(whole).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield from of(rest)
+
+
+def candidates(nodes: DataFrame, least: float, nearest: bool, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of nodes (node, g, n, bands, sketch) that share a band and differ in ``g``, once each.
+
+    All that may be ``least`` alike, or for each node the ``nearest`` of each bucket.
+    """
+    banded = nodes.select("node", "g", F.posexplode("bands").alias("t", "key"))
+    full = banded.groupBy("t", "key").agg(F.count("*").alias("rows"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("t", "key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    units = (
+        banded.drop("g")
+        .join(full, ["t", "key"])
+        .join(nodes.select("node", "g", "n", "sketch"), "node")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "g", "n", "sketch")
+        .repartition("t", "key", "p", "q")
+        .sortWithinPartitions("t", "key", "p", "q")
+    )
+    return units.mapInArrow(lambda batches: _candidates(batches, least, nearest), "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, sure: int = 4, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id, then the smallest text hash.
 
-    Fingerprints that differ in at most ``sure`` bits are linked.  Groups that come closer
-    than ``radius`` bits are joined if the two texts' sets of ``width``-word shingles have a
-    Jaccard similarity of ``least`` or more; their nearest texts are compared, one pair for
-    two groups.  Columns are those of ``docs``, whatever their names.  Null ids come last.  Of
-    rows that agree in id and text, one stays.  Only keys are gathered; texts are shuffled
-    for the few pairs to compare and once for the semi-join that keeps the chosen rows.
+    Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or
+    more are linked; every candidate pair is compared by its texts, but for those that
+    compared pairs already connect.  Fingerprints that differ in at most ``sure`` bits are
+    linked without a look at the texts; a negative ``sure`` links none so.  Columns are
+    those of ``docs``, whatever their names.  Null ids come last.  Of rows that agree in id
+    and text, one stays.  Only keys and sketches are gathered; texts are shuffled for the
+    pairs to compare and once for the semi-join that keeps the chosen rows.
     """
     names = docs.columns
     key = ["__null", "__id", "__hash"]
     keyed = docs.withColumns({"__null": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__hash": F.xxhash64(text_col)})
     order = F.struct("__null", F.col(id_col).alias("i"), "__id", "__hash")
     slim = keyed.select(F.col(text_col).alias("text"), order.alias("o"))
-    first = cut(with_fingerprint(slim, width=width, out="fp").groupBy("fp").agg(F.min("o").alias("o")))
-    near = cut(links(first.select("fp"), radius))
-    labels = cut(components(near.where(F.col("bits") <= sure).select("a", "b")))
-    group = lambda rows, end, out: rows.join(labels.select(F.col("id").alias(end), "label"), end, "left").withColumn(out, F.coalesce("label", end)).drop("label")
-    open_ = group(group(near.where(F.col("bits") > sure), "a", "ga"), "b", "gb").where("ga <> gb")
-    nearest = open_.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.min(F.struct("bits", "a", "b")).alias("l")).select("g", "h", "l.a", "l.b")
-    wanted = nearest.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(first, "fp").select("fp", "o.__null", "o.__id", "o.__hash")
-    some = keyed.select(*key, F.col(text_col).alias("text")).join(wanted, key).groupBy("fp").agg(F.first("text").alias("text"))
-    x, y = some.select(F.col("fp").alias("a"), F.col("text").alias("x")), some.select(F.col("fp").alias("b"), F.col("text").alias("y"))
-    joined = nearest.join(x, "a").join(y, "b").select("g", "h", "x", "y").mapInArrow(lambda batches: _alike(batches, width, least), "a long, b long")
-    more = components(joined)
-    labelled = first.join(labels, first["fp"] == labels["id"], "left").select("fp", "o", F.coalesce("label", "fp").alias("g"))
-    labelled = labelled.join(more, labelled["g"] == more["id"], "left").select("o", F.coalesce("label", "g").alias("g"))
-    chosen = labelled.groupBy("g").agg(F.min("o").alias("o")).select("o.__null", "o.__id", "o.__hash")
+    first = cut(with_sketch(slim, width, sure >= 0).groupBy("node").agg(F.min("o").alias("o"), *[F.first(c).alias(c) for c in ("fp", "n", "bands", "sketch")]))
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        labels = components(edges).withColumnRenamed("id", "node")
+        return cut(first.join(labels, "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("node", "o.__null", "o.__id", "o.__hash")
+        some = keyed.select(*key, F.col(text_col).alias("text")).join(wanted, key).groupBy("node").agg(F.first("text").alias("text"))
+        x, y = some.select(F.col("node").alias("a"), F.col("text").alias("x")), some.select(F.col("node").alias("b"), F.col("text").alias("y"))
+        return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda batches: _alike(batches, width, least), "a long, b long"))
+
+    known = first.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if sure >= 0:
+        prints = cut(first.groupBy("fp").agg(F.min("node").alias("rep")))
+        end = lambda c: prints.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
+        near = links(prints.select("fp"), sure).join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        known = cut(near.union(first.join(prints, "fp").select("node", "rep")))
+    tried = None
+    for nearest in (True, False):
+        pairs = candidates(grouped(known) if sure >= 0 or tried is not None else first.withColumn("g", F.col("node")), least, nearest)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        known, tried = known.union(alike(pairs)), pairs
+    chosen = grouped(known).groupBy("g").agg(F.min("o").alias("o")).select("o.__null", "o.__id", "o.__hash")
     same = Window.partitionBy(*key).orderBy(F.lit(0))
     return keyed.join(chosen, key, "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*names)

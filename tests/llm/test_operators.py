@@ -277,6 +277,26 @@ def test_keep_one_compares_near_groups(spark):
     assert len(kept & alike) < 0.35 * len(alike)
 
 
+def test_keep_one_tests_every_pair(spark):
+    """One text stays of each component of pairs at 0.8 or more, none of them linked by fingerprints."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(40):
+        base = words(rng, 300, 10_000)
+        for _ in range(12):
+            text = list(base)
+            for at in rng.sample(range(300), rng.randrange(2, 14)):
+                text[at] = f"other{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text), "s"))
+    group = list(range(len(rows)))
+    for i, (_, x, _) in enumerate(rows):
+        for j in range(i - i % 12, i):
+            if group[i] != group[j] and simhash.similarity(x.encode(), rows[j][1].encode(), 5) >= 0.8:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, rows), sure=-1).collect())
+    assert kept == sorted(set(group)) and 40 < len(kept) < 480
+
+
 def test_keep_one(spark):
     docs = awkward(spark)
     kept = simhash.keep_one(docs)
