@@ -297,6 +297,23 @@ def test_keep_one_tests_every_pair(spark):
     assert kept == sorted(set(group)) and 40 < len(kept) < 480
 
 
+def variants(rng):
+    """Text 0 and 399 variants of it, and the ids of those at 0.8 or more."""
+    base = words(rng, 200, 10_000)
+    rows = [(0, " ".join(base), "s")]
+    for k in range(1, 400):
+        text = list(base)
+        for at in rng.sample(range(200), rng.randrange(1, 30)):
+            text[at] = f"other{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text), "s"))
+    return rows, {k for k, t, _ in rows if simhash.similarity(t.encode(), rows[0][1].encode(), 5) >= 0.8}
+
+
+def test_keep_one_finds_all_at_the_limit(spark):
+    rows, alike = variants(random.Random(12))
+    assert {r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()} & alike == {0} and len(alike) > 40
+
+
 def test_keep_one(spark):
     docs = awkward(spark)
     kept = simhash.keep_one(docs)
