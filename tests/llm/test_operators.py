@@ -314,6 +314,15 @@ def test_keep_one_finds_all_at_the_limit(spark):
     assert {r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()} & alike == {0} and len(alike) > 40
 
 
+def test_pipeline_keeps_texts_below_the_limit(spark):
+    """Texts whose fingerprints are near go only if their shingles are alike."""
+    rows, alike = variants(random.Random(12))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), SF).collect()}
+    unlike = {k for k, t, _ in rows if all(simhash.similarity(t.encode(), rows[j][1].encode(), 5) < 0.8 for j in alike | {0})}
+    near = {k for k in unlike if bin(brute_print(rows[k][1], 5) ^ brute_print(rows[0][1], 5)).count("1") <= 4}
+    assert near and near <= kept
+
+
 def test_keep_one(spark):
     docs = awkward(spark)
     kept = simhash.keep_one(docs)
