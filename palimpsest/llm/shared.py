@@ -46,6 +46,16 @@ def sent(spark: SparkSession, value) -> Callable[[], object]:
     return lambda: cloudpickle.loads(data.value)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns renamed by their place (c0, c1, ...), so that no name of it clashes with one of ours."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> str:
+    """What column ``name`` of ``df`` is called in ``by_place(df)``; of equal names the first."""
+    return f"c{df.columns.index(name)}"
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8; null reads as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

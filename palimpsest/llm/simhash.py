@@ -19,16 +19,18 @@ cut into hashed blocks and every pair of blocks is a task's unit of its own, so
 no bucket is ever in one place and none is capped.  A unit returns a minimum
 spanning forest of its links, not all pairs.
 
-``keep_one`` promises a Jaccard similarity, which fingerprints bound badly (texts at 0.8
-differ in about ten bits, and covering ten bits takes 2,047 tables).  Its candidates are
-texts that share a band of ``ROWS`` least values of their shingle sets (MinHash): one of
-``BANDS`` bands is shared with a chance of 0.99993 at 0.8, and more above.  The candidates
-are compared by their texts.
+``keep_one`` promises a Jaccard similarity of texts, which fingerprints bound badly: texts at
+0.8 differ in about ten bits, and covering ten bits takes 2,047 tables.  So links of
+fingerprints are taken as candidates only.  They put texts into clusters, and a join on
+rare shingles adds what lies beyond the radius: two sets that are ``least`` alike meet among
+the first ``n - least * n + 1`` shingles of either, rarest first (a prefix filter, which
+misses nothing), and buckets that lie in one cluster already are left out.  Then all texts of
+a cluster are compared with each other by their shingles, block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -37,18 +39,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import ASCII_LOWER, cut, texts
+from palimpsest.llm.shared import ASCII_LOWER, by_place, cut, place, sent, texts
+from palimpsest.operators.graph import components
 
 #: Fingerprints of a bucket that are compared as one unit.
 BLOCK = 2048
 
-#: Bands of a shingle set's sketch, and least values in each.
-BANDS, ROWS = 24, 5
+#: Bytes of a shingle set's sketch, and what the share of equal bytes may fall below the similarity: five standard deviations at 0.8.
+SKETCH, SLACK = 96, 0.205
 
-#: What the share of equal sketch bytes may fall below the similarity: five standard deviations at 0.8.
-SLACK = 0.18
+#: Shingles are counted in so many hashed buckets, to order them by rarity; the counts are 4 MB.
+RARITY = 1 << 20
 
-_XOR, _ODD = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+#: Shingles of a cluster's texts, and texts, that are compared as one unit.
+UNIT_SHINGLES, UNIT_TEXTS = 1 << 20, 1024
+
+#: Texts whose ids are sent to all executors to fetch them; more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
+
+_XOR, _ODD = np.random.default_rng(11).integers(0, 1 << 64, (2, SKETCH), np.uint64) | np.array([[0], [1]], np.uint64)
 
 #: Row b holds the eight bits of byte b, lowest first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -72,7 +81,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int) -> int:
     """The 64-bit fingerprint as a signed integer; a text without words has 0."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit for each of 64: whether over half of the hashes have it."""
     if not len(hashes):
         return 0
     lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -104,19 +117,19 @@ def masks(radius: int, bits: int = 64, seed: int = 7) -> list[int]:
     return found
 
 
-def tree(prints: np.ndarray, radius: int, apart: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(i, j, bits): links that connect what all links within ``radius`` would connect, nearest pairs first (Prim's minimum spanning forest).
+def tree(prints: np.ndarray, radius: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(i, j): links that connect what all links within ``radius`` would connect, nearest pairs first (Prim's minimum spanning forest).
 
     ``apart``: 0 or 1 for each print; where given, only prints of different sides are compared.
     """
     far = 65
     best, parent = np.full(len(prints), far, np.int16), np.zeros(len(prints), np.int64)
     left = np.ones(len(prints), bool)
-    found: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int]] = []
     for _ in range(len(prints)):
         here = int(np.argmin(np.where(left, best, far + 1)))
         if best[here] <= radius:
-            found.append((int(parent[here]), here, int(best[here])))
+            found.append((int(parent[here]), here))
         left[here] = False
         bits = np.bitwise_count(prints ^ prints[here]).astype(np.int16)
         if apart is not None:
@@ -126,80 +139,63 @@ def tree(prints: np.ndarray, radius: int, apart: np.ndarray | None = None) -> li
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of units (equal ``unit_*`` columns) that follow each other; a unit may span batches."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())])
+def whole_units(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, where units start and the last ends): rows in order, units (equal ``keys``) that follow each other never cut in two."""
     rest: pa.Table | None = None
+    batches = iter(batches)
+    while True:
+        batch = next(batches, None)
+        table = rest if batch is None else pa.Table.from_batches([batch])
+        if batch is not None and rest is not None:
+            table = pa.concat_tables([rest, table])
+        if table is not None and table.num_rows:
+            columns = [table.column(c).to_numpy() for c in keys]
+            starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+            end = table.num_rows if batch is None else int(starts[-1])
+            if end:
+                yield table.slice(0, end).combine_chunks(), np.r_[starts[starts < end], end]
+            rest = table.slice(end).combine_chunks()
+        if batch is None:
+            return
+
+
+UNIT = ("t", "key", "p", "q")
+
 
-    def of(table: pa.Table) -> pa.RecordBatch:
+def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of the units (see ``links``)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for table, edges in whole_units(batches, UNIT):
         prints = table.column("fp").to_numpy().view(np.uint64)
-        keys = np.column_stack([table.column(c).to_numpy() for c in ("t", "key", "p", "q")])
-        side = table.column("side").to_numpy()
-        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-        ends = np.r_[starts[1:], len(keys)]
+        p, q, side = (table.column(c).to_numpy() for c in ("p", "q", "side"))
+        starts, ends = edges[:-1], edges[1:]
         pairs = starts[ends - starts == 2]
-        bits = np.bitwise_count(prints[pairs] ^ prints[pairs + 1])
-        near = (bits <= radius) & ((keys[pairs, 2] == keys[pairs, 3]) | (side[pairs] != side[pairs + 1]))
-        found = [np.column_stack([pairs[near], pairs[near] + 1, bits[near]]).astype(np.int64)]
-        for s, e in zip(starts, ends):
-            if e - s > 2 and (links_ := tree(prints[s:e], radius, side[s:e] if keys[s, 2] != keys[s, 3] else None)):
-                found.append(np.array(links_, np.int64) + [s, s, 0])
-        i, j, d = np.concatenate(found).T
+        near = (np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= radius) & ((p[pairs] == q[pairs]) | (side[pairs] != side[pairs + 1]))
+        found = [np.column_stack([pairs[near], pairs[near] + 1])]
+        large = ends - starts > 2
+        for s, e in zip(starts[large], ends[large]):
+            if links_ := tree(prints[s:e], radius, side[s:e] if p[s] != q[s] else None):
+                found.append(np.array(links_, np.int64) + s)
+        i, j = np.concatenate(found).T
         a, b = (prints[k].view(np.int64) for k in (i, j))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], schema=schema)
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        if not table.num_rows:
-            continue
-        keys = [table.column(c).to_numpy() for c in ("t", "key", "p", "q")]
-        same = np.logical_and.reduce([k == k[-1] for k in keys])
-        whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if whole:
-            yield of(table.slice(0, whole))
-        rest = table.slice(whole).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield of(rest)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+
+def in_units(rows: DataFrame) -> DataFrame:
+    """``rows`` (t, key, node, blocks and more) dealt out to units (t, key, p, q): every pair of blocks of a bucket is one."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = {"p": F.least("own", "other"), "q": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
+    return rows.withColumns(unit).drop("own", "other", "blocks").repartition(*UNIT).sortWithinPartitions(*UNIT)
 
 
 def links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b, bits): links among the distinct fingerprints of column ``fp`` that connect all pairs within ``radius`` bits."""
+    """(a, b): links among the distinct fingerprints of column ``fp`` that connect all pairs within ``radius`` bits."""
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("m")) for t, m in enumerate(masks(radius))])
     signed = prints.select("fp", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
-    full = signed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    units = (
-        signed.join(full, ["t", "key"])
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-        .repartition("t", "key", "p", "q")
-        .sortWithinPartitions("t", "key", "p", "q")
-    )
-    return units.mapInArrow(lambda batches: _links(batches, radius), "a long, b long, bits int").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): for each end of ``edges`` (a, b), the smallest id that it can reach.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014), each written to
-    the shared folder, until nothing changes.  Nothing is collected but a count and a sum.
-    """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark: tuple | None = None
-    while mark != (0, None):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    return edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("id"), "label")
+    full = signed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    units = in_units(signed.join(full, ["t", "key"]).withColumn("node", F.col("fp")))
+    return units.select(*UNIT, "side", "fp").mapInArrow(lambda batches: _links(batches, radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -212,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width=width).select("id", "fingerprint"))
     least = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("first")))
-    labels = components(links(least.select(F.col("fingerprint").alias("fp")), radius).select("a", "b"))
+    labels = components(links(least.select(F.col("fingerprint").alias("fp")), radius))
     joined = least.join(labels, least["fingerprint"] == labels["id"], "left").select("fingerprint", "first", F.coalesce("label", "fingerprint").alias("group"))
     component = joined.join(joined.groupBy("group").agg(F.min("first").alias("component_id")), "group").select("fingerprint", "component_id")
     return rows.join(component, "fingerprint", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -225,150 +221,209 @@ def similarity(a: bytes, b: bytes, width: int) -> float:
     return shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0
 
 
-def _alike(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, x, y) whose texts x and y are alike, as (a, b)."""
-    for batch in batches:
-        keep = pa.array([similarity(x, y, width) >= least for x, y in zip(texts(batch.column(2)), texts(batch.column(3)))], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A byte of the least value of the distinct shingles ``own`` under each of ``SKETCH`` permutations of 64-bit integers."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 4096):
+        least = np.minimum(least, ((own[at : at + 4096, None] ^ _XOR) * _ODD).min(0))
+    return (least & np.uint64(255)).astype(np.uint8)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The least value of the distinct ``shingles`` under each of BANDS * ROWS permutations of 64-bit integers."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, ((shingles[at : at + 4096, None] ^ _XOR) * _ODD).min(0))
-    return least
+def slot(own: np.ndarray) -> np.ndarray:
+    return (own % np.uint64(RARITY)).astype(np.int64)
 
 
-def with_sketch(docs: DataFrame, width: int, prints: bool) -> DataFrame:
-    """Rows (text, o) as (o, node, fp, n, bands, sketch).
+def rarity(docs: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of all texts (column ``text``) each hashed bucket has."""
+    chunk = RARITY >> 6
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                np.add.at(total, slot(np.unique(shingle_hashes(text, width))), 1)
+        if total.any():
+            parts = [x.tobytes() for x in total.astype(np.int32).reshape(-1, chunk)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
-    ``node``: hash of the shingle set; ``n``: its size; ``fp``: the fingerprint, where ``prints`` asks for it.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
+    total = np.zeros((RARITY // chunk, chunk), np.int64)
+    for k, counts in zip(*(rows.column(c).to_pylist() for c in ("chunk", "counts"))):
+        total[k] = np.frombuffer(counts, np.int64)
+    return np.minimum(total.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+
+
+def head_size(n: int, least: float) -> int:
+    """So many of ``n`` shingles, in any order that all sets share, hold one of every set that is ``least`` alike."""
+    return n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
+
+
+def with_sets(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Rows (text, o) as (o, node, fp, n, heads, sketch).
+
+    ``node``: hash of the shingle set; ``fp``: the fingerprint; ``n``: size of the set;
+    ``heads``: its rarest shingles, as many as ``head_size`` says.
     """
-    schema = docs.select("o", *[F.lit(0).cast("long").alias(c) for c in ("node", "fp", "n")], F.array(F.lit(0).cast("long")).alias("bands"), F.lit(b"").alias("sketch")).schema
+    schema = docs.select("o", *[F.lit(0).cast("long").alias(c) for c in ("node", "fp", "n")], F.array(F.lit(0).cast("long")).alias("heads"), F.lit(b"").alias("sketch")).schema
     kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
+    counted = sent(docs.sparkSession, rarity(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = counted()
         for batch in batches:
             rows = []
             for text in texts(batch.column(0)):
-                own = np.unique(shingle_hashes(text, width))
-                least = sketch(own)
-                bands = (least.reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(1, np.uint64).view(np.int64)
+                hashes = shingle_hashes(text, width)
+                own = np.unique(hashes)
+                heads = own[np.argsort(common[slot(own)], kind="stable")[: head_size(len(own), least)]]
                 node = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)
-                rows.append((int(node), fingerprint(text, width) if prints else 0, len(own), bands.tolist(), (least & np.uint64(255)).astype(np.uint8).tobytes()))
+                rows.append((int(node), majority(hashes), len(own), heads.view(np.int64), sketch(own).tobytes()))
             columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, columns, kinds)], ["o", "node", "fp", "n", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, columns, kinds)], ["o", "node", "fp", "n", "heads", "sketch"])
 
     return docs.select("text", "o").mapInArrow(run, schema)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], least: float, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different groups in a unit whose sizes and sketches allow a similarity of ``least``.
+def forest(near: Callable[[int, np.ndarray], np.ndarray], m: int) -> list[tuple[int, int]]:
+    """Edges that connect what ``near`` connects; ``near(i, others)`` says which of others are near to i."""
+    left, found = np.ones(m, bool), []
+    for root in range(m):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo:
+            i = todo.pop()
+            others = np.flatnonzero(left)
+            others = others[near(i, others)]
+            left[others] = False
+            todo += others.tolist()
+            found += [(i, j) for j in others.tolist()]
+    return found
 
-    All pairs, or for each node the ``nearest`` by its sketch.
-    """
-    rest: pa.Table | None = None
 
-    def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = np.column_stack([table.column(c).to_numpy() for c in ("t", "key", "p", "q")])
-        node, group, side, n = (table.column(c).to_numpy() for c in ("node", "g", "side", "n"))
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-        found, held = [], 0
-        for s, e in zip(starts, np.r_[starts[1:], len(keys)]):
-            for i in range(s, e if nearest else e - 1):
-                other = np.arange(s if nearest else i + 1, e)
-                fits = (group[other] != group[i]) & (np.minimum(n[other], n[i]) >= least * np.maximum(n[other], n[i]))
-                if keys[s, 2] != keys[s, 3]:
-                    fits &= side[other] != side[i]
-                other = other[fits]
-                share = (sketches[other] == sketches[i]).mean(1)
-                other, share = other[share >= least - SLACK], share[share >= least - SLACK]
-                if nearest and len(other):
-                    other = other[[np.argmax(share)]]
-                if len(other):
-                    found.append(np.column_stack([np.minimum(node[other], node[i]), np.maximum(node[other], node[i])]))
-                    held += len(other)
-            if found and (held > 100_000 or e == len(keys)):
-                a, b = np.unique(np.concatenate(found), axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                found, held = [], 0
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        if not table.num_rows:
-            continue
-        same = np.logical_and.reduce([k == k[-1] for k in (table.column(c).to_numpy() for c in ("t", "key", "p", "q"))])
-        whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if whole:
-            yield from of(table.slice(0, whole))
-        rest = table.slice(whole).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield from of(rest)
-
-
-def candidates(nodes: DataFrame, least: float, nearest: bool, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of nodes (node, g, n, bands, sketch) that share a band and differ in ``g``, once each.
-
-    All that may be ``least`` alike, or for each node the ``nearest`` of each bucket.
+def _bridges(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): clusters of which texts in a unit may be ``least`` alike by their sizes and sketches; a forest for each unit of over 16."""
+    for table, edges in whole_units(batches, UNIT):
+        g, n, side, p, q = (table.column(c).to_numpy() for c in ("g", "n", "side", "p", "q"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(g), -1)
+
+        def near(i, j):
+            fits = (g[i] != g[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9) & ((side[i] != side[j]) | (p[j] == q[j]))
+            some = np.flatnonzero(fits)
+            x = sketches[i] if np.isscalar(i) else sketches[i[some]]
+            fits[some] = (x == sketches[j[some]]).mean(1) >= least - SLACK
+            return fits
+
+        size = np.diff(edges)
+        unit, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= 16, size)
+        found = []
+        for lag in range(1, min(16, int(size.max()))):
+            i = np.flatnonzero((unit[lag:] == unit[:-lag]) & small[lag:])
+            for part in np.array_split(i, len(i) // 100_000 + 1):
+                part = part[near(part, part + lag)]
+                found.append(np.column_stack([g[part], g[part + lag]]))
+        for s, e in zip(edges[:-1][size > 16], edges[1:][size > 16]):
+            if pairs := forest(lambda i, others: near(s + i, s + others), e - s):
+                found.append(g[np.array(pairs) + s])
+        a, b = np.unique(np.sort(np.concatenate(found), axis=1), axis=0).T if found else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def bridges(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): clusters ``g`` of ``nodes`` (node, g, n, heads, sketch) whose texts share a head and may be ``least`` alike."""
+    headed = nodes.select("node", "g", F.explode("heads").alias("key"))
+    full = headed.groupBy("key").agg(F.count("*").alias("rows"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    units = in_units(headed.drop("g").join(full, "key").join(nodes.select("node", "g", "n", "sketch"), "node").withColumn("t", F.lit(0)))
+    return units.select(*UNIT, "side", "g", "n", "sketch").mapInArrow(lambda batches: _bridges(batches, least), "a long, b long").distinct()
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values sets i and j > i share, as a matrix; the other entries mean nothing.
+
+    Values that few sets have are counted by pairs of sets, the others by a product of
+    matrices, so the work is bounded for either.
     """
-    banded = nodes.select("node", "g", F.posexplode("bands").alias("t", "key"))
-    full = banded.groupBy("t", "key").agg(F.count("*").alias("rows"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("t", "key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    units = (
-        banded.drop("g")
-        .join(full, ["t", "key"])
-        .join(nodes.select("node", "g", "n", "sketch"), "node")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "g", "n", "sketch")
-        .repartition("t", "key", "p", "q")
-        .sortWithinPartitions("t", "key", "p", "q")
-    )
-    return units.mapInArrow(lambda batches: _candidates(batches, least, nearest), "a long, b long").distinct()
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, sure: int = 4, least: float = 0.8) -> DataFrame:
+    m, dense = len(sets), 32
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    held = np.diff(np.r_[starts, len(flat)])
+    group = np.repeat(np.arange(len(starts)), held)
+    few = (held <= dense)[group]
+    total = np.zeros(m * m, np.int64)
+    for lag in range(1, min(dense, int(held.max(initial=1)))):
+        i = np.flatnonzero((group[lag:] == group[:-lag]) & few[lag:])
+        total += np.bincount(owner[i] * m + owner[i + lag], minlength=m * m)
+    total = total.reshape(m, m)
+    many = np.flatnonzero(held > dense)
+    for part in np.array_split(many, len(many) // 2048 + 1) if len(many) else []:
+        column = np.full(len(starts), -1)
+        column[part] = np.arange(len(part))
+        here = np.flatnonzero(column[group] >= 0)
+        table = np.zeros((m, len(part)), np.float32)
+        table[owner[here], column[group[here]]] = 1
+        total += (table @ table.T).astype(np.int64)
+    return total
+
+
+def _alike(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): edges among the texts of each unit that connect all that are ``least`` alike."""
+    for table, edges in whole_units(batches, UNIT):
+        node, side, p, q = (table.column(c).to_numpy() for c in ("node", "side", "p", "q"))
+        found = [np.zeros((0, 2), np.int64)]
+        for s, e in zip(edges[:-1], edges[1:]):
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts(table.column("text").slice(s, e - s).combine_chunks())]
+            n = np.array([len(x) for x in sets])
+            shared = np.triu(shared_counts(sets), 1)
+            fits = shared >= least * (n[:, None] + n - shared) - 1e-9
+            if p[s] != q[s]:
+                fits &= side[s:e, None] != side[s:e]
+            fits = np.triu(fits, 1)
+            fits |= fits.T
+            if pairs := forest(lambda i, others: fits[i, others], e - s):
+                found.append(node[np.array(pairs) + s])
+        a, b = np.concatenate(found).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id, then the smallest text hash.
 
     Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or
-    more are linked; every candidate pair is compared by its texts, but for those that
-    compared pairs already connect.  Fingerprints that differ in at most ``sure`` bits are
-    linked without a look at the texts; a negative ``sure`` links none so.  Columns are
-    those of ``docs``, whatever their names.  Null ids come last.  Of rows that agree in id
-    and text, one stays.  Only keys and sketches are gathered; texts are shuffled for the
-    pairs to compare and once for the semi-join that keeps the chosen rows.
+    more are linked, and a group is a component of links.  Every link is found by a
+    comparison of the texts; fingerprints within ``radius`` bits and rare shingles that two
+    texts share say which texts are compared.  Columns are those of ``docs``, whatever their
+    names (of equal names the first is meant).  Null ids come last.  Null and blank texts
+    have the same, empty set.  Of rows that agree in id and text, one stays.  Texts are
+    shuffled for clusters of candidates, and once for the semi-join that keeps the chosen rows.
     """
-    names = docs.columns
-    key = ["__null", "__id", "__hash"]
-    keyed = docs.withColumns({"__null": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__hash": F.xxhash64(text_col)})
-    order = F.struct("__null", F.col(id_col).alias("i"), "__id", "__hash")
-    slim = keyed.select(F.col(text_col).alias("text"), order.alias("o"))
-    first = cut(with_sketch(slim, width, sure >= 0).groupBy("node").agg(F.min("o").alias("o"), *[F.first(c).alias(c) for c in ("fp", "n", "bands", "sketch")]))
-
-    def grouped(edges: DataFrame) -> DataFrame:
-        labels = components(edges).withColumnRenamed("id", "node")
-        return cut(first.join(labels, "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("node", "o.__null", "o.__id", "o.__hash")
-        some = keyed.select(*key, F.col(text_col).alias("text")).join(wanted, key).groupBy("node").agg(F.first("text").alias("text"))
-        x, y = some.select(F.col("node").alias("a"), F.col("text").alias("x")), some.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda batches: _alike(batches, width, least), "a long, b long"))
-
-    known = first.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    if sure >= 0:
-        prints = cut(first.groupBy("fp").agg(F.min("node").alias("rep")))
-        end = lambda c: prints.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
-        near = links(prints.select("fp"), sure).join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        known = cut(near.union(first.join(prints, "fp").select("node", "rep")))
-    tried = None
-    for nearest in (True, False):
-        pairs = candidates(grouped(known) if sure >= 0 or tried is not None else first.withColumn("g", F.col("node")), least, nearest)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        known, tried = known.union(alike(pairs)), pairs
-    chosen = grouped(known).groupBy("g").agg(F.min("o").alias("o")).select("o.__null", "o.__id", "o.__hash")
-    same = Window.partitionBy(*key).orderBy(F.lit(0))
-    return keyed.join(chosen, key, "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*names)
+    rows = by_place(docs)
+    id_, text = F.col(place(docs, id_col)), F.col(place(docs, text_col))
+    key = ["none", "sid", "hash"]
+    keyed = rows.withColumns({"none": id_.isNull(), "sid": F.coalesce(id_.cast("string"), F.lit("")), "hash": F.xxhash64(text)})
+    slim = keyed.select(text.alias("text"), F.struct("none", id_.alias("i"), "sid", "hash").alias("o"))
+    first = cut(with_sets(slim, width, least).groupBy("node").agg(F.min("o").alias("o"), *[F.first(c).alias(c) for c in ("fp", "n", "heads", "sketch")]))
+
+    def joined(nodes: DataFrame, on: str, edges: DataFrame, out: str) -> DataFrame:
+        labels = components(edges).select(F.col("id").alias(on), F.col("label").alias("least_"))
+        return nodes.join(labels, on, "left").withColumn(out, F.coalesce("least_", on)).drop("least_")
+
+    clustered = cut(joined(first, "fp", links(first.select("fp").distinct(), radius), "g"))
+    clustered = cut(joined(clustered.select("node", "o", "g", "n"), "g", bridges(clustered, least), "key"))
+    blocks = F.ceil(F.greatest(F.sum("n") / UNIT_SHINGLES, F.count("*") / UNIT_TEXTS)).cast("int")
+    wanted = clustered.join(clustered.groupBy("key").agg(F.count("*").alias("m"), blocks.alias("blocks")).where("m > 1"), "key").select("key", "node", "blocks", *[F.col(f"o.{c}").alias(c) for c in key])
+    wanted = cut(wanted)
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    compared = keyed.select(*key, text.alias("text")).join(few, key).dropDuplicates(["node"]).withColumn("t", F.lit(0))
+    same = in_units(compared.select("t", "key", "node", "blocks", "text")).select(*UNIT, "side", "node", "text")
+    pairs = same.mapInArrow(lambda batches: _alike(batches, width, least), "a long, b long").distinct()
+    chosen = joined(clustered.select("node", "o"), "node", pairs, "group").groupBy("group").agg(F.min("o").alias("o")).select("o.none", "o.sid", "o.hash")
+    again = Window.partitionBy(*key).orderBy(F.lit(0))
+    return keyed.join(chosen, key, "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1").select(*rows.columns).toDF(*docs.columns)
