@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Maps A-Z to a-z and leaves every other byte, so UTF-8 stays valid.
 ASCII_LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -40,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gone(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store Spark has it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sent(spark: SparkSession, value) -> Callable[[], object]:
     """``value`` broadcast, to be called for in a task; classes of this package travel with it."""
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -61,6 +69,61 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def decoded(text: bytes) -> str:
+    """UTF-8 as characters; bytes that aren't UTF-8 read as U+FFFD."""
+    return text.decode("utf-8", "replace")
+
+
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """Some columns of ``df``, each under a name of ours, whatever else ``df`` has."""
+    return by_place(df).select(*[F.col(place(df, name)).alias(ours) for ours, name in names.items()])
+
+
+def restored(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``by_place(like)`` in ``rows`` under the names of ``like``."""
+    return rows.select(*by_place(like).columns).toDF(*like.columns)
+
+
+#: Buckets of ``hashed_counts``; the counts are 4 MB.
+BUCKETS = 1 << 20
+
+
+def hashed_counts(column: DataFrame, keys: Callable[[bytes], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many keys of all texts (the one column) fall in each of ``BUCKETS`` buckets; ``keys``: of a text, as 64-bit numbers.
+
+    A task sends its counts in 64 parts, which are added up apart.
+    """
+    chunk = BUCKETS >> 6
+    kinds = "chunk int, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                for some in keys(text):
+                    np.add.at(total, bucket(some), 1)
+        if total.any():
+            parts = [x.tobytes() for x in total.reshape(-1, chunk)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    rows = column.mapInArrow(count, kinds).repartition("chunk").mapInArrow(add, kinds).toArrow()
+    total = np.zeros((BUCKETS // chunk, chunk), np.int64)
+    for k, counts in zip(*(rows.column(c).to_pylist() for c in ("chunk", "counts"))):
+        total[k] = np.frombuffer(counts, np.int64)
+    return total.ravel()
+
+
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def chunks(values: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive values of about ``limit`` bytes together, so that arrays made of them stay small."""
     start = size = 0
