@@ -4,16 +4,17 @@ An item's words are cut into windows of ``window`` consecutive words; an item of
 fewer is one window.  A window is contained in a document where the document has
 the same words in the same order.  A window's set is its shingles of ``SHINGLE``
 words.  For full containment the prefix that two sets must share is one element,
-so each window is indexed under its rarest shingle alone, rarity being the number
-of times that shingle occurs in all documents (ties: in fewer windows, then the
-earlier one).  A document shingle that equals an indexed one gives a candidate
+so each window is indexed under its rarest shingle alone, rarity being how often
+shingles of its hashed bucket occur in all documents (ties: in fewer windows, then
+the earlier one).  A document shingle that equals an indexed one gives a candidate
 place; it survives if it leaves room for the whole window before the text's start
 and end (positional and length bounds) and if every word of it agrees.
 
 The documents are never shuffled: the index is sent to where they are.  It holds
 at most about ``BLOCK_BYTES`` of window text; a larger benchmark is cut into
-blocks by a hash of the window and the documents are passed over once for each
-block, with what was found kept beside each document in the shared folder.
+blocks by a hash of the window.  The documents are passed over once to count shingles
+and once for each block; of blocks after the first only what was found in a text is
+kept, under a digest of the text, and joined to the documents.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import WORD_BYTES, chunks, cut, sent, texts
+from palimpsest.llm.shared import BUCKETS, WORD_BYTES, bucket, by_place, chunks, cut, hashed_counts, picked, place, restored, sent, texts
 
 SHINGLE = 3
 #: Window text of one index, which is collected and sent to every executor.
@@ -44,7 +46,8 @@ class Index:
         self.sizes = np.array([len(x) for x in split], np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]].astype(np.int64)
         self.words = np.array([self.vocabulary[w] for x in split for w in x], np.int64)
-        owner, offset, length, key = [], [], [], []
+        hashes = np.array([0, *map(xxhash.xxh64_intdigest, self.vocabulary)], np.uint64)[self.words]
+        owner, offset, length, key, common = [], [], [], [], []
         for n in range(1, SHINGLE + 1):
             which = np.flatnonzero(np.minimum(self.sizes, SHINGLE) == n)
             if len(which):
@@ -53,7 +56,8 @@ class Index:
                 at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
                 owner.append(own), offset.append(at), length.append(np.full(len(own), n))
                 key.append(self.keys(self.words, n)[self.starts[own] + at])
-        self.owner, self.offset, self.length, key_of = (np.concatenate(x) for x in (owner, offset, length, key))
+                common.append(bucket(self.keys(hashes, n)[self.starts[own] + at]))
+        self.owner, self.offset, self.length, key_of, self.common = (np.concatenate(x) for x in (owner, offset, length, key, common))
         self.keys_of_all, self.slot = np.unique(key_of, return_inverse=True)
         self.lengths = np.unique(self.length)
 
@@ -80,16 +84,16 @@ class Index:
             yield places[hit], slots[hit]
 
     def choose_prefixes(self, occurrences: np.ndarray) -> None:
-        """Keep for each window its rarest shingle, given how often each key occurs in the documents."""
+        """Keep for each window its rarest shingle, given how often each bucket occurs in the documents."""
         spread = np.bincount(self.slot, minlength=len(self.keys_of_all))
-        order = np.lexsort((self.offset, spread[self.slot], occurrences[self.slot], self.owner))
+        order = np.lexsort((self.offset, spread[self.slot], occurrences[self.common], self.owner))
         first = order[np.unique(self.owner[order], return_index=True)[1]]
         first = first[np.argsort(self.slot[first], kind="stable")]
         self.posting_window, self.posting_offset = self.owner[first], self.offset[first]
         count = np.bincount(self.slot[first], minlength=len(self.keys_of_all))
         self.posting_end = np.cumsum(count)
         self.posting_start = self.posting_end - count
-        del self.owner, self.offset, self.length, self.slot
+        del self.owner, self.offset, self.length, self.slot, self.common
 
     def occurrences(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, start) of each window that ``words`` contains, by window size."""
@@ -133,37 +137,24 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Dat
                     item.append(k), cut_.append(b" ".join(words[i : i + window]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item, pa.int64())), pa.array(cut_, pa.binary())], ["item", "window"])
 
-    return items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).mapInArrow(run, f"item {kind}, window binary").distinct()
+    return picked(items, item=id_col, text=text_col).mapInArrow(run, f"item {kind}, window binary").distinct()
 
 
-def _count(docs: DataFrame, text_col: str, index: Index) -> np.ndarray:
-    """How often each key of ``index`` occurs in all documents."""
-    known = sent(docs.sparkSession, index)
+def _count(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often shingles of each bucket occur in all documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = known()
-        total = np.zeros(len(index.keys_of_all), np.int64)
-        for batch in batches:
-            values = texts(batch.column(0))
-            for a, b in chunks(values):
-                words, _ = numbered(index.vocabulary, values[a:b])
-                for _, slots in index.found(words):
-                    total += np.bincount(slots, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+    def keys(text: bytes) -> Iterator[np.ndarray]:
+        words = text.translate(WORD_BYTES).split()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        return (Index.keys(hashes, n) for n in range(1, SHINGLE + 1))
 
-    rows = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(len(index.keys_of_all), np.int64)
-    total[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    return total
+    return hashed_counts(docs.select(text_col), keys)
 
 
-def _mark(docs: DataFrame, text_col: str, index: Index, items_of: list[list[str]], more: bool) -> DataFrame:
-    """``docs`` with ``__n`` words, ``__spans`` (start, end alternating) and ``__items``; ``more``: docs has them already."""
+def _mark(docs: DataFrame, text_col: str, index: Index, items_of: list[list[str]]) -> DataFrame:
+    """``docs`` with its words (``n``), the ``spans`` found (start, end alternating) and their ``items``."""
     known = sent(docs.sparkSession, (index, items_of))
-    added = ["__n", "__spans", "__items"]
-    kept = [c for c in docs.columns if not more or c not in added]
-    at, schema = docs.columns.index(text_col), docs.select(*kept, F.lit(0).cast("long").alias("__n"), F.lit(None).cast("array<int>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items")).schema
+    at, schema = docs.columns.index(text_col), docs.select("*", F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, items_of = known()
@@ -187,20 +178,16 @@ def _mark(docs: DataFrame, text_col: str, index: Index, items_of: list[list[str]
                     n_words.append(int(starts[d + 1] - starts[d]) - 1)
                     spans.append((edges[bounds[d] : bounds[d + 1]] - starts[d]).tolist())
                     items.append(sorted(found.get(d, ())))
-            if more:
-                old = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in added[1:]]
-                spans = [merged(x, y) for x, y in zip(old[0], spans)]
-                items = [sorted({*x, *y}) for x, y in zip(old[1], items)]
-            columns = [batch.column(batch.schema.get_field_index(c)) if more else batch.column(i) for i, c in enumerate(kept)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [*kept, *added])
+            added = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "n", "spans", "items"])
 
     return docs.mapInArrow(run, schema)
 
 
-def merged(x: list[int], y: list[int]) -> list[int]:
-    """The union of two lists of spans (start, end alternating)."""
+def merged(spans: list[list[int]]) -> list[int]:
+    """The union of lists of spans (start, end alternating)."""
     out: list[int] = []
-    for s, e in sorted([*zip(x[::2], x[1::2]), *zip(y[::2], y[1::2])]):
+    for s, e in sorted((int(x[i]), int(x[i + 1])) for x in spans for i in range(0, len(x), 2)):
         if out and s <= out[-1]:
             out[-1] = max(out[-1], e)
         else:
@@ -208,50 +195,76 @@ def merged(x: list[int], y: list[int]) -> list[int]:
     return out
 
 
+def united(spans: str) -> Column:
+    """``merged`` of a column; null for null."""
+    return F.pandas_udf(lambda rows: rows.map(lambda x: None if x is None else merged(x)), "array<int>")(spans)
+
+
+def digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def with_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` and, for each row, ``__n`` (words), ``__spans`` (word spans inside any window found) and ``__items`` (ids as strings).
+    """The columns of ``by_place(docs)`` and, for each row, ``n`` (words), ``spans`` (of words inside any window found) and ``items`` (ids as strings).
 
-    Nulls and texts without words have no words and no hits.  An item without words has no
-    window.  An item with a null id marks words but is not listed.  Repeated rows of either
-    table change nothing but their own number.  Both tables may be empty.
+    Nulls and texts without words have no words and no hits; long texts are read whole.  An
+    item without words has no window.  An item with a null id marks words but is not listed.
+    Repeated rows of either table change nothing but their own number.  Both tables may be
+    empty.  Of columns with equal names the first is meant.
     """
+    rows, text = by_place(docs), place(docs, text_col)
     windows = cut(windows_of(items, item_id, item_text, window))
     size = windows.agg(F.sum(F.octet_length("window") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    common = _count(rows, text) if size else None
+    marked, later = None, []
     for block in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).select("window", F.col("item").cast("string").alias("item")).toArrow()
-        groups = rows.group_by("window").aggregate([("item", "list")]).sort_by("window") if rows.num_rows else rows
-        if not rows.num_rows:
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).select("window", F.col("item").cast("string").alias("item")).toArrow()
+        if not part.num_rows and block:
+            continue
+        groups = part.group_by("window").aggregate([("item", "list")]).sort_by("window") if part.num_rows else part
+        if part.num_rows:
+            index, items_of = Index(groups.column("window").to_pylist()), [[i for i in x if i is not None] for x in groups.column("item_list").to_pylist()]
+        else:
             index, items_of = Index([b"\x00"]), [[]]
+        index.choose_prefixes(common if common is not None else np.zeros(BUCKETS, np.int64))
+        if not block:
+            marked = _mark(rows, text, index, items_of)
         else:
-            index, items_of = Index(groups.column("window").to_pylist()), [[i for i in x if i is not None] for x in groups.column("item_list").to_pylist()]
-        index.choose_prefixes(_count(docs, text_col, index) if rows.num_rows else np.zeros(len(index.keys_of_all), np.int64))
-        docs = _mark(docs, text_col, index, items_of, more=block > 0)
-        if block + 1 < blocks:
-            docs = cut(docs)
-    return docs
-
-
-def hit_words() -> F.Column:
+            found = _mark(rows.select(text), text, index, items_of).where(F.size("spans") > 0)
+            later.append(cut(found.select(digest(text).alias("text_digest"), "spans", "items").distinct()))
+    if not later:
+        return marked
+    union = later[0]
+    for more in later[1:]:
+        union = union.unionAll(more)
+    more = union.groupBy("text_digest").agg(F.collect_list("spans").alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
+    none = F.array().cast("array<string>")
+    both = {"items": F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", none)))), "spans": F.coalesce("joined_spans", "spans")}
+    joined = marked.withColumn("text_digest", digest(text)).join(more, "text_digest", "left").withColumn("joined_spans", united(F.concat(F.array("spans"), "more_spans")))
+    return joined.withColumns(both).select(*rows.columns, "n", "spans", "items")
+
+
+def hit_words() -> Column:
     """The number of words inside spans."""
-    return F.aggregate(F.transform("__spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated, and the spans and items behind them."""
-    marked = with_hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, **options)
+    marked = with_hits(picked(docs, id=id_col, text=text_col), items, **options)
     return marked.select(
-        F.col("id").alias(id_col),
-        F.col("__n").alias("n_words"),
+        F.col("c0").alias(id_col),
+        F.col("n").alias("n_words"),
         hit_words().alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        (F.size("__spans") > 0).alias("contaminated"),
-        F.col("__spans").alias("hit_spans"),
-        F.col("__items").alias("items"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+        F.col("spans").alias("hit_spans"),
+        "items",
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no window of any item occurs, with the columns of ``docs``."""
-    return with_hits(docs, items, text_col, **options).where(F.size("__spans") == 0).select(*docs.columns)
+    """The rows of ``docs`` in which no window of any item occurs, with the columns of ``docs``, whatever their names."""
+    return restored(with_hits(docs, items, text_col, **options).where(F.size("spans") == 0), docs)
