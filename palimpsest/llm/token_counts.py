@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import cut, sent, texts
+from palimpsest.llm.shared import cut, decoded, picked, sent, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this byte-pair vocabulary's texts are split before merging.
@@ -32,8 +32,27 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}
 
 
+def n_tokens(encoding, text: str, pattern: str) -> int:
+    """The number of tokens of ``text``.
+
+    The encoder's own splitter gives up on very long runs of one kind of character; then
+    the text is split by the same pattern here and each piece is encoded whole.
+    """
+    try:
+        return len(encoding.encode_to_numpy(text, disallowed_special=()))
+    except ValueError:
+        import regex
+
+        return sum(len(encoding._encode_single_piece(piece[0])) for piece in regex.finditer(pattern, text))
+
+
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(length, n_docs): how many texts have each number of tokens.  Null and empty texts have 0; repeated rows count each."""
+    """(length, n_docs): how many texts have each number of tokens.
+
+    Null and empty texts have 0; repeated rows count each; an empty table gives no rows.
+    Texts are encoded whole, however long.  Bytes that aren't UTF-8 count as U+FFFD.  Other
+    columns don't matter; of columns with equal names the first is meant.
+    """
     known = sent(docs.sparkSession, ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,11 +62,11 @@ def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABUL
         total: dict[int, int] = {}
         for batch in batches:
             for text in texts(batch.column(0)):
-                n = len(encoding.encode_to_numpy(text.decode(), disallowed_special=()))
+                n = n_tokens(encoding, decoded(text), pattern)
                 total[n] = total.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["length", "n_docs"])
 
-    return docs.select(text_col).mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return picked(docs, text=text_col).mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:
