@@ -6,10 +6,12 @@ the other class; logistic regression weighs the scaled features.  N-grams run ov
 lower-cased text with runs of white space as one space, and over its ends.  They are
 hashed to ``BUCKETS`` numbers.
 
-The classifier is fitted on a bounded sample of the labelled rows: of each class the
-``SAMPLE`` with the smallest hashed ids, weighted back to the classes' shares of all
-labels.  Whole texts are read, for fitting and for scoring.  Scoring is one pass
-over the documents without a shuffle.
+The classifier is fitted on a bounded sample of the labelled rows: of each class at
+most ``SAMPLE`` texts and ``SAMPLE_BYTES`` bytes of them, by hashed id, weighted back
+to the classes' shares of all labels.  Every n-gram of the sample is a feature, and
+every bucket has a place in the model, a vector of ``BUCKETS`` numbers.  Whole texts
+are read, for fitting and for scoring.  Scoring is one pass over the documents without
+a shuffle.
 """
 
 from __future__ import annotations
@@ -23,137 +25,122 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.linear import logistic, sigmoid
-from palimpsest.llm.shared import chunks, cut, sent, texts
+from palimpsest.llm.sample import labelled, sampled_texts
+from palimpsest.llm.shared import by_place, decoded, picked, place, restored, sent, texts
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 22
-#: Labelled rows of each class that the classifier is fitted on, at most.
-SAMPLE = 8192
-#: N-grams of the fitted model, at most: those whose counts tell the classes apart best.
-FEATURES = 1 << 13
-#: Log-count ratios below this, and n-grams in fewer sampled texts than that, carry no weight.
-LEAST_RATIO, LEAST_TEXTS = 0.7, 3
+#: Labelled texts of each class that the classifier is fitted on, at most, and bytes of them.
+SAMPLE, SAMPLE_BYTES = 2048, 6 << 20
+#: Weight of the squared coefficients.
+PENALTY = 1e-5
+#: Gradient steps of a fit.
+STEPS = 60
 
 
-def codes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as code points, a zero after each; and where these zeros are."""
-    plain = [f" {' '.join(v.decode().lower().replace(chr(0), ' ').split())} " for v in values]
-    points = np.frombuffer("\0".join([*plain, ""]).encode("utf-32-le"), "<u4")
-    return points, np.flatnonzero(points == 0)
+def points_of(text: bytes) -> np.ndarray:
+    """Lower-cased code points, runs of white space as one space, and one at either end."""
+    plain = f" {' '.join(decoded(text).lower().split())} "
+    return np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def grams(points: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place, bucket) of the n-grams within texts, by order."""
-    wide, total = points.astype(np.uint64), np.zeros(len(points), np.uint64)
+def grams(text: bytes) -> Iterator[np.ndarray]:
+    """The buckets of the n-grams of a text, order by order."""
+    points = points_of(text)
+    total = np.zeros(len(points), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         size = len(points) - n + 1
         if size <= 0:
             return
-        total = (total[:size] + wide[n - 1 :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        total = (total[:size] + points[n - 1 :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(31)
         if n in ORDERS:
-            inside = np.ones(size, bool)
-            across = (ends[:, None] - np.arange(n)).ravel()
-            inside[across[(across >= 0) & (across < size)]] = False
-            place = np.flatnonzero(inside)
-            yield place, ((total[place] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n)) >> np.uint64(42)).astype(np.int64)
-
-
-def present(values: list[bytes], slot: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, text, feature), each pair once, chunk by chunk; ``slot``: feature of a bucket, -1 for none."""
-    for a, b in chunks(values, 1 << 19):
-        points, ends = codes(values[a:b])
-        found = []
-        for place, bucket in grams(points, ends):
-            if slot is not None:
-                bucket = slot[bucket]
-                place, bucket = place[bucket >= 0], bucket[bucket >= 0]
-            found.append(np.searchsorted(ends, place) * BUCKETS + bucket)
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        yield a, pairs // BUCKETS, pairs % BUCKETS
+            yield ((total * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n)) >> np.uint64(42)).astype(np.int32)
+
+
+class Present:
+    """The buckets that occur in a text, each once; holds a scratch vector, so make one for each task."""
+
+    def __init__(self):
+        self.last = np.zeros(BUCKETS, np.int32)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        found = list(grams(text))
+        bucket = np.concatenate(found) if found else np.zeros(0, np.int32)
+        place = np.arange(len(bucket), dtype=np.int32)
+        self.last[bucket] = place
+        return bucket[self.last[bucket] == place]
 
 
 @dataclass
 class Model:
-    bucket: np.ndarray
+    """``weight`` of each bucket, naive Bayes ratio times coefficient, and an intercept."""
+
     weight: np.ndarray
     intercept: float
 
-    def slots(self) -> np.ndarray:
-        slot = np.full(BUCKETS, -1, np.int32)
-        slot[self.bucket] = np.arange(len(self.bucket))
-        return slot
-
-    def scores(self, values: list[bytes], slot: np.ndarray) -> np.ndarray:
-        total = np.full(len(values), self.intercept)
-        for a, text, feature in present(values, slot):
-            total += np.bincount(a + text, self.weight[feature], len(values))
-        return sigmoid(total)
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, BUCKETS), np.int32)
-    for batch in batches:
-        values, label = texts(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-        for a, text, bucket in present(values):
-            toxic = label[a + text] == 1
-            for k in (0, 1):
-                np.add.at(total[k], bucket[toxic == bool(k)], 1)
-    some = np.flatnonzero(total.any(0))
-    for s in range(0, len(some), 100_000):
-        part = some[s : s + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (part, total[0][part], total[1][part])], ["bucket", "other", "toxic"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+    def scores(self, values: list[bytes], present: Present) -> np.ndarray:
+        return sigmoid(np.array([self.weight[present(v)].sum(dtype=float) for v in values]) + self.intercept)
+
+
+def ratios(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The log of the smoothed shares of toxic and of other texts that have each bucket; 0 for buckets of no text."""
+    count = [np.bincount(np.concatenate([f for f, t in zip(features, toxic) if t == k] or [np.zeros(0, np.int32)]), minlength=BUCKETS) for k in (False, True)]
+    share = [(count[k] + 1.0) / (int((toxic == bool(k)).sum()) + 2.0) for k in (0, 1)]
+    return np.where(count[0] + count[1] > 0, np.log(share[1] / share[0]), 0.0)
+
+
+def trained(values: list[bytes], label: np.ndarray, weight: dict[int, float], penalty: float = PENALTY, steps: int = STEPS) -> Model:
+    """A model from labelled texts, of which both classes have one; ``weight`` of a text by its label."""
+    present = Present()
+    features = [present(v) for v in values]
+    ratio = ratios(features, label == 1)
+    row, flat = np.repeat(np.arange(len(values), dtype=np.int32), [len(f) for f in features]), np.concatenate(features)
+    known, column = np.unique(flat, return_inverse=True)
+    scale = ratio[known]
+    w, b = logistic(row, column.astype(np.int32), scale.astype(np.float32)[column], label.astype(float), np.where(label == 1, weight[1], weight[0]), len(known), penalty, steps)
+    total = np.zeros(BUCKETS, np.float32)
+    total[known] = w * scale
+    return Model(total, b)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from ``labels`` (1 toxic, 0 not; null ids and labels don't count) of ``docs``; with one class only it scores all alike."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = labelled(labels, id_col, label_col)
     size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    part = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(part[0].union(part[1])), "id").select("text", "label")
-    rows = cut(rows.repartition(6))
+    rows = sampled_texts(docs, known, id_col, text_col, sample, sample_bytes)
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 6.0 if n.get(1) else -6.0)
-    rate = [(F.col(c) + 1.0) / (n[k] + 2.0) for k, c in enumerate(("other", "toxic"))]
-    ratio = F.log(rate[1] / rate[0])
-    tally = rows.mapInArrow(_tally, "bucket long, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    tally = tally.where(F.col("other") + F.col("toxic") >= LEAST_TEXTS).withColumn("ratio", ratio).where(F.abs("ratio") >= LEAST_RATIO)
-    best = tally.orderBy(((rate[1] - rate[0]) * F.col("ratio")).desc(), "bucket").limit(FEATURES).select("bucket", "ratio").toArrow()
-    bucket, scale = best.column("bucket").to_numpy(), best.column("ratio").to_numpy()
+        return Model(np.zeros(BUCKETS, np.float32), 6.0 if n.get(1) else -6.0)
     weight = {k: size[k] / n[k] for k in (0, 1)}
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = Model(bucket, scale, 0.0).slots()
-        row, column, label = [], [], []
+        values, label = [], []
         for batch in batches:
-            values = texts(batch.column(0))
-            start = sum(map(len, label))
-            for a, text, feature in present(values, slot):
-                row.append(start + a + text), column.append(feature)
-            label.append(batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-        if label:
-            row, column, label = np.concatenate(row), np.concatenate(column), np.concatenate(label)
-            w, b = logistic(row, column, scale[column], label, np.where(label == 1, weight[1], weight[0]), len(bucket), 1e-5)
-            yield pa.RecordBatch.from_arrays([pa.array([(w * scale).tolist()]), pa.array([b])], ["w", "b"])
+            values += texts(batch.column(0))
+            label += batch.column(1).to_pylist()
+        if values:
+            model = trained(values, np.array(label), weight)
+            yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.intercept])], ["w", "b"])
 
-    fitted = rows.coalesce(1).mapInArrow(train, "w array<double>, b double").first()
-    return Model(bucket, np.array(fitted["w"], float), fitted["b"])
+    ordered = rows.orderBy(F.xxhash64("id"), "id", "hash", "label").select("text", "label")
+    fitted = ordered.coalesce(1).mapInArrow(train, "w binary, b double").first()
+    return Model(np.frombuffer(fitted["w"], np.float32), fitted["b"])
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic of each whole text; all rows and other columns stay."""
-    at, known = docs.columns.index(text_col), sent(docs.sparkSession, model)
-    schema = docs.select("*", F.lit(0.0).alias(out)).schema
+    rows, known = by_place(docs), sent(docs.sparkSession, model)
+    at = docs.columns.index(text_col)
+    schema = rows.select("*", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = known()
-        slot = model.slots()
+        model, present = known(), Present()
         for batch in batches:
-            scores = model.scores(texts(batch.column(at)), slot)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, out])
+            scores = model.scores(texts(batch.column(at)), present)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*docs.columns, out)
 
 
 def held_out(id_col: str) -> Column:
@@ -164,15 +151,21 @@ def held_out(id_col: str) -> Column:
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row for each row of ``docs``: id, held_out, score, predicted.
 
-    Null texts score as empty ones, which have the intercept only.  Repeated rows score
-    alike and are returned as often as they come.
+    Null texts score as empty ones, which have the intercept and few n-grams.  Bytes that
+    aren't UTF-8 read as U+FFFD.  Repeated rows score alike and are returned as often as they
+    come.  Other columns don't matter; of columns with equal names the first is meant.
     """
-    model = fit(docs, labels.where(~held_out(id_col)), id_col, text_col)
-    scored = with_score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
+    model = fit(docs, taught(labels, id_col), id_col, text_col)
+    scored = with_score(picked(docs, id=id_col, text=text_col), model)
     return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def taught(labels: DataFrame, id_col: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return restored(by_place(labels).where(~held_out(place(labels, id_col))), labels)
+
+
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with the columns of ``docs``."""
-    model = fit(docs, labels.where(~held_out(id_col)), id_col, text_col)
-    return with_score(docs, model, text_col, "__score").where(F.col("__score") < threshold).drop("__score")
+    """The rows of ``docs`` that score below ``threshold``, with the columns of ``docs``, whatever their names."""
+    model = fit(docs, taught(labels, id_col), id_col, text_col)
+    return restored(with_score(by_place(docs), model, place(docs, text_col)).where(F.col("score") < threshold), docs)
