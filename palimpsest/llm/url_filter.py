@@ -9,9 +9,11 @@ of the models' ratio.  A hashed quarter of the decided URLs takes no part in the
 counts; on it the threshold is set where the mean of the two classes' accuracies is
 highest.
 
-URLs are spelt in an alphabet of 34 symbols, so the table of n-grams has
-``34 ** ORDER`` rows at most (1.3 million); for that reason, and checked again, it is
-sent to where the URLs are.  Everything is DataFrame code; ``html`` is not read.
+Host and path are modelled as they are, each character a symbol of its own.  The
+n-grams' table is sent to where the URLs are if it is small; otherwise URLs' n-grams
+are joined by a shuffle, in which each n-gram is dealt out to ``SALTS`` keys, as the
+first few characters are alike in most URLs.  Everything is DataFrame code; ``html``
+is not read.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import cut
+from palimpsest.llm.shared import by_place, cut, place
 
-ORDER = 4
-ALPHABET = 34
+ORDER = 5
 #: Rows of the n-gram table that are broadcast, at most; about 60 MB.
-BROADCAST_GRAMS = ALPHABET**ORDER
+BROADCAST_GRAMS = 1_000_000
+SALTS = 16
+#: What stands before a URL, ORDER - 1 times, and after it; no URL has them.
+START, END = "\x02", "\x03"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,15 +56,19 @@ def fitting(rules: tuple[tuple[str, str], ...]) -> Column:
 
 
 def spelling() -> Column:
-    """Host and path in the models' alphabet, with marks for start and end."""
-    text = F.translate(F.concat("host", "path"), _UPPER, _LOWER)
-    plain = F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), r"[^a-z0./_\-]", "?")
-    return F.concat(F.lit("^" * (ORDER - 1)), plain, F.lit("$"))
+    """Host and path with marks for start and end."""
+    return F.concat(F.lit(START * (ORDER - 1)), "host", "path", F.lit(END))
 
 
 def grams(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``gram`` instead of ``spelt``, one row for each character."""
-    return rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("spelt") - (ORDER - 1)))).withColumn("gram", F.substring(F.col("spelt"), F.col("at"), F.lit(ORDER))).drop("at", "spelt")
+    """``rows`` with ``gram`` instead of ``spelt``, one row for each character.
+
+    The characters are laid out once, in a projection of their own, so that a long URL costs
+    no more for each character than a short one.
+    """
+    rows = rows.withColumn("chars", F.split("spelt", "")).drop("spelt")
+    gram = lambda i: F.concat(*[F.get("chars", i + k) for k in range(ORDER)])
+    return rows.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(0), F.size("chars") - ORDER), gram))).drop("chars")
 
 
 def ratios(counts: DataFrame) -> DataFrame:
@@ -68,15 +76,17 @@ def ratios(counts: DataFrame) -> DataFrame:
 
     ``counts``: gram, and how often the URLs allowed and blocked have it, zeros included.
     Every shorter n-gram is an ending of some of these, so sums over them are its counts.
+    The shortest context is mixed with equal chances for all characters that URLs have.
     """
     lower: DataFrame | None = None
+    kinds = counts.select(F.substring("gram", ORDER, 1)).distinct().count()
     for n in range(1, ORDER + 1):
         here = counts.groupBy(F.substring("gram", ORDER - n + 1, n).alias("gram")).agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
         context = Window.partitionBy(F.substring("gram", 1, n - 1))
         for c in ("allowed", "blocked"):
             here = here.withColumn(f"{c}_all", F.sum(c).over(context)).withColumn(f"{c}_kinds", F.sum((F.col(c) > 0).cast("long")).over(context))
         if lower is None:
-            chances = [(F.col(c) + 1.0) / (F.col(f"{c}_all") + float(ALPHABET)) for c in ("allowed", "blocked")]
+            chances = [(F.col(c) + 1.0) / (F.col(f"{c}_all") + float(kinds)) for c in ("allowed", "blocked")]
         else:
             here = here.withColumn("ending", F.substring("gram", 2, n - 1)).join(lower, "ending")
             chances = [F.when(F.col(f"{c}_all") == 0, F.col(f"p_{c}")).otherwise((F.col(c) + F.col(f"{c}_kinds") * F.col(f"p_{c}")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds"))) for c in ("allowed", "blocked")]
@@ -104,19 +114,30 @@ def judged(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str],
 
     A URL that is null or has no ``://`` has empty host and path and is judged by its score,
     like all that no rule fits.  Where rules decide no URL, or all alike, the threshold is 0
-    and scores lean on what was counted.  Repeated rows count as often as they come.
+    and scores lean on what was counted.  Repeated rows count as often as they come.  URLs
+    are read whole, however long.  A ``keep`` column that is named like a result is left out;
+    other columns don't matter, and of columns with equal names the first is meant.
     """
-    host, path = parts(F.col(url_col))
-    rows = pages.select(F.struct(*keep).alias("kept") if keep else F.lit(0).alias("kept"), host.alias("host"), path.alias("path")).withColumn("found", fitting(rules)).withColumn("spelt", spelling())
+    keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict", "score"))
+    pages_ = by_place(pages)
+    host, path = parts(F.col(place(pages, url_col)))
+    kept = F.struct(*[F.col(place(pages, c)).alias(f"k{k}") for k, c in enumerate(keep)]) if keep else F.lit(0)
+    rows = pages_.select(kept.alias("kept"), host.alias("host"), path.alias("path")).withColumn("found", fitting(rules)).withColumn("spelt", spelling())
     decided = F.col("found.verdict") == "allow"
     tested = F.col("found").isNotNull() & (F.substring(F.md5(F.concat("host", "path")), 1, 1) < "4")
     counted = lambda yes: F.sum(F.coalesce((decided == yes) & ~tested, F.lit(False)).cast("long"))
     counts = cut(grams(rows.select("spelt", "found", "host", "path")).groupBy("gram").agg(counted(True).alias("allowed"), counted(False).alias("blocked")))
-    table = cut(ratios(counts))
-    known = F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
+    table = cut(ratios(counts).withColumn("ratio", F.round("ratio", 6).cast("decimal(18,6)")))
+    spread = grams(rows.withColumn("row", F.monotonically_increasing_id()))
+    if table.count() <= BROADCAST_GRAMS:
+        found = spread.join(F.broadcast(table), "gram")
+    else:
+        salts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = spread.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salts, ["gram", "salt"])
+    # Sums of decimals don't depend on the order of rows, so a rerun gives the same score.
+    score = F.sum("ratio").cast("double") / F.count("*")
     names = ["kept", "host", "path", "found"]
-    scored = grams(rows.withColumn("row", F.monotonically_increasing_id())).join(known, "gram").groupBy("row").agg(*[F.first(c).alias(c) for c in names], F.avg("ratio").alias("score"))
-    scored = cut(scored)
+    scored = cut(found.groupBy("row").agg(*[F.first(c).alias(c) for c in names], F.round(score, 9).alias("score")))
     least = threshold(scored.where(tested).select("score", decided.alias("allow")))
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("score") >= least, "allow").otherwise("block"))
-    return scored.select(*[F.col(f"kept.{c}").alias(c) for c in keep], "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")
+    return scored.select(*[F.col(f"kept.k{k}").alias(c) for k, c in enumerate(keep)], "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")
