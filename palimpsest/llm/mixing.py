@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import SPACE_WORD, cut
+from palimpsest.llm.shared import SPACE_WORD, by_place, cut, picked, place
 
 RANGE_DIGITS = 3
 WEIGHTS = (3, 1, 2)
@@ -99,9 +99,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     more than ``most`` times its own.  What a source takes adds up to its target, rounded
     down; the row where the rest ends gives only the words still missing, and equal rows
     there share those by halves, thirds and so on, rounded down.  Rows without words and
-    sources without words take nothing.  An empty table gives no rows.
+    sources without words take nothing.  An empty table gives no rows.  Other columns don't
+    matter; of columns with equal names the first is meant.
     """
-    rows = cut(keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), "id", "text", "source").drop("text", "source"))
+    rows = cut(keyed(picked(docs, id=id_col, text=text_col, source=source_col), "id", "text", "source").drop("text", "source"))
     mixed = taken(rows, plan(rows.drop("id"), **options))
     return mixed.select(F.col("id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", "taken")
 
@@ -109,9 +110,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", out: str = "taken_words", **options) -> DataFrame:
     """The rows of ``docs`` of which the mix takes a word or more, with ``out``: how many, repeats counted.
 
-    Texts are not shuffled: whether a row is in follows from its own key and its source's plan.
+    Texts are not shuffled: whether a row is in follows from its own key and its source's
+    plan.  Columns keep their values whatever their names, but one named ``out`` is replaced.
+    Nulls, repeats and empty texts are as in ``mix``.
     """
-    rows = keyed(docs, id_col, text_col, source_col)
-    names = [f"`{c}`" for c in docs.columns if c != out]
-    chosen = taken(rows.select(F.struct(*[F.col(n) for n in names]).alias("__row"), "__none", "__source", "__size", "__key"), plan(rows.select("__none", "__source", "__size", "__key"), **options))
-    return chosen.where("taken > 0").select("__row.*", F.col("taken").alias(out))
+    rows = keyed(by_place(docs), place(docs, id_col), place(docs, text_col), place(docs, source_col))
+    kept = [(f"c{k}", name) for k, name in enumerate(docs.columns) if name != out]
+    chosen = taken(rows, plan(rows.select("__none", "__source", "__size", "__key"), **options)).where("taken > 0")
+    return chosen.select(*[c for c, _ in kept], "taken").toDF(*[name for _, name in kept], out)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import ASCII_LOWER, by_place, cut, place, sent, texts
+from palimpsest.llm.shared import ASCII_LOWER, bucket, by_place, cut, hashed_counts, picked, place, restored, sent, texts
 from palimpsest.operators.graph import components
 
 #: Fingerprints of a bucket that are compared as one unit.
@@ -48,9 +48,6 @@ BLOCK = 2048
 #: Bytes of a shingle set's sketch, and what the share of equal bytes may fall below the similarity: five standard deviations at 0.8.
 SKETCH, SLACK = 96, 0.205
 
-#: Shingles are counted in so many hashed buckets, to order them by rarity; the counts are 4 MB.
-RARITY = 1 << 20
-
 #: Shingles of a cluster's texts, and texts, that are compared as one unit.
 UNIT_SHINGLES, UNIT_TEXTS = 1 << 20, 1024
 
@@ -96,15 +93,15 @@ def majority(hashes: np.ndarray) -> int:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4, out: str = "fingerprint") -> DataFrame:
     """``docs`` with the signed 64-bit fingerprint of each text; all rows and other columns stay."""
-    at = docs.columns.index(text_col)
-    schema = docs.select("*", F.lit(0).cast("long").alias(out)).schema
+    rows, at = by_place(docs), docs.columns.index(text_col)
+    schema = rows.select("*", F.lit(0).cast("long").alias("print")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = pa.array([fingerprint(t, width) for t in texts(batch.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, "print"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*docs.columns, out)
 
 
 def masks(radius: int, bits: int = 64, seed: int = 7) -> list[int]:
@@ -204,9 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id among the documents that links reach, its own
     included.  Null and blank texts have fingerprint zero and are linked like any other;
     a null id is never the smallest, and a component of null ids only has a null id.
-    Repeated rows are returned as often as they come; an empty table gives no rows.
+    Repeated rows are returned as often as they come; an empty table gives no rows.  Other
+    columns don't matter; of columns with equal names the first is meant.
     """
-    rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width=width).select("id", "fingerprint"))
+    rows = cut(with_fingerprint(picked(docs, id=id_col, text=text_col), width=width).select("id", "fingerprint"))
     least = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("first")))
     labels = components(links(least.select(F.col("fingerprint").alias("fp")), radius))
     joined = least.join(labels, least["fingerprint"] == labels["id"], "left").select("fingerprint", "first", F.coalesce("label", "fingerprint").alias("group"))
@@ -229,37 +227,6 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return (least & np.uint64(255)).astype(np.uint8)
 
 
-def slot(own: np.ndarray) -> np.ndarray:
-    return (own % np.uint64(RARITY)).astype(np.int64)
-
-
-def rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """How many shingles of all texts (column ``text``) each hashed bucket has."""
-    chunk = RARITY >> 6
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RARITY, np.int64)
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                np.add.at(total, slot(np.unique(shingle_hashes(text, width))), 1)
-        if total.any():
-            parts = [x.tobytes() for x in total.astype(np.int32).reshape(-1, chunk)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
-
-    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
-    total = np.zeros((RARITY // chunk, chunk), np.int64)
-    for k, counts in zip(*(rows.column(c).to_pylist() for c in ("chunk", "counts"))):
-        total[k] = np.frombuffer(counts, np.int64)
-    return np.minimum(total.ravel(), np.iinfo(np.int32).max).astype(np.int32)
-
-
 def head_size(n: int, least: float) -> int:
     """So many of ``n`` shingles, in any order that all sets share, hold one of every set that is ``least`` alike."""
     return n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
@@ -273,7 +240,7 @@ def with_sets(docs: DataFrame, width: int, least: float) -> DataFrame:
     """
     schema = docs.select("o", *[F.lit(0).cast("long").alias(c) for c in ("node", "fp", "n")], F.array(F.lit(0).cast("long")).alias("heads"), F.lit(b"").alias("sketch")).schema
     kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
-    counted = sent(docs.sparkSession, rarity(docs, width))
+    counted = sent(docs.sparkSession, hashed_counts(docs.select("text"), lambda text: [np.unique(shingle_hashes(text, width))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = counted()
@@ -282,7 +249,7 @@ def with_sets(docs: DataFrame, width: int, least: float) -> DataFrame:
             for text in texts(batch.column(0)):
                 hashes = shingle_hashes(text, width)
                 own = np.unique(hashes)
-                heads = own[np.argsort(common[slot(own)], kind="stable")[: head_size(len(own), least)]]
+                heads = own[np.argsort(common[bucket(own)], kind="stable")[: head_size(len(own), least)]]
                 node = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)
                 rows.append((int(node), majority(hashes), len(own), heads.view(np.int64), sketch(own).tobytes()))
             columns = zip(*rows) if rows else [[]] * 5
@@ -426,4 +393,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     pairs = same.mapInArrow(lambda batches: _alike(batches, width, least), "a long, b long").distinct()
     chosen = joined(clustered.select("node", "o"), "node", pairs, "group").groupBy("group").agg(F.min("o").alias("o")).select("o.none", "o.sid", "o.hash")
     again = Window.partitionBy(*key).orderBy(F.lit(0))
-    return keyed.join(chosen, key, "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1").select(*rows.columns).toDF(*docs.columns)
+    left = keyed.join(chosen, key, "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1")
+    return restored(left, docs)
