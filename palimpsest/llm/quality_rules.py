@@ -2,9 +2,10 @@
 
 ``statistics`` counts things in each text.  ``learn`` grows conjunctions of
 thresholds on ratios of those counts, one after another, from texts labelled good
-or bad: a rule gains conditions while they raise FOIL's information gain on two
-thirds of the rows, loses the last ones again where the other third says so, and is
-kept if it is precise there; what it covers is set aside for the next rule.  The
+or bad: a rule gains conditions while they raise FOIL's information gain on half
+of the rows, loses the last ones again where a quarter says so, and is kept if it is
+precise on the last quarter, which neither saw; what it covers is set aside for the
+next rule.  If it isn't precise, the bad rows that it covers seed no rule any more.  The
 list is a handful of readable lines and is applied as one Spark ``CASE``.
 """
 
@@ -18,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import cut, texts
+from palimpsest.llm.sample import labelled, smallest
+from palimpsest.llm.shared import by_place, cut, decoded, picked, place, restored, texts
 
-#: Labelled rows that rules are learned from, at most: those with the smallest hashed ids.
-SAMPLE = 50_000
+#: Labelled rows of each kind that rules are learned from, at most: those with the smallest hashed ids.
+SAMPLE = 25_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_bytes")
 
@@ -55,30 +57,30 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def counts(text: bytes) -> tuple[int, ...]:
-    """``COUNTS`` of a text."""
+    """``COUNTS`` of a text; bytes that aren't UTF-8 count as U+FFFD."""
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
     without = lambda drop: len(text) - len(text.translate(None, drop))
     upper, lower = without(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), without(b"abcdefghijklmnopqrstuvwxyz")
     return (
-        len(words), len(b"".join(words).decode()), without(b"#*$%&|<>"), len(lines) - len(set(lines)), repeated_words(words), len(set(words)),
+        len(words), len(decoded(b"".join(words))), without(b"#*$%&|<>"), len(lines) - len(set(lines)), repeated_words(words), len(set(words)),
         len(lines), upper, upper + lower, without(b"0123456789"), without(b"!?"), len(text),
     )
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with ``COUNTS`` of each whole text, as long columns named with ``prefix``; they replace columns of these names.  Null counts as empty."""
-    names = [prefix + c for c in COUNTS]
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
-    at = docs.columns.index(text_col)
-    schema = docs.select("*", *[F.lit(0).cast("long").alias(n) for n in names]).schema
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``COUNTS`` of each whole text as long columns, which replace columns of these names.  Null counts as empty."""
+    rows, text = by_place(docs), place(docs, text_col)
+    kept = [(f"c{k}", name) for k, name in enumerate(docs.columns) if name not in COUNTS]
+    at = rows.columns.index(text)
+    schema = rows.select("*", *[F.lit(0).cast("long").alias(n) for n in COUNTS]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = np.array([counts(t) for t in texts(batch.column(at))], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, table.T.copy())], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, table.T.copy())], [*batch.schema.names, *COUNTS])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[c for c, _ in kept], *COUNTS).toDF(*[name for _, name in kept], *COUNTS)
 
 
 @dataclass(frozen=True)
@@ -94,8 +96,8 @@ class Condition:
         x = table[self.ratio]
         return x >= self.threshold if self.above else x < self.threshold
 
-    def column(self, prefix: str = "") -> Column:
-        top, bottom = (F.col(prefix + c).cast("double") for c in RATIOS[self.ratio])
+    def column(self) -> Column:
+        top, bottom = (F.col(c).cast("double") for c in RATIOS[self.ratio])
         x = top / F.greatest(bottom, F.lit(1.0))
         return x >= self.threshold if self.above else x < self.threshold
 
@@ -140,20 +142,21 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
     return tuple(rule)
 
 
-def learn(table: dict[str, np.ndarray], bad: np.ndarray, longest: int = 3, most: int = 12, precision: float = 0.9, least: int = 3) -> list[Rule]:
+def learn(table: dict[str, np.ndarray], bad: np.ndarray, longest: int = 4, precision: float = 0.95, least: int = 3, tries: int = 200) -> list[Rule]:
     """Rules that reject, in order, from arrays of ``COUNTS`` and what is bad.  No bad row or no good row: no rule.
 
-    A rule is kept if at least ``precision`` of what it covers, and ``least`` rows, are bad
-    in the third that it was pruned on and in all rows together.
+    Of four rows two are for growing, one for pruning and one for judging.  A rule is kept
+    if at least ``precision`` of what it covers, and ``least`` rows, are bad in the judging
+    quarter, and ``precision`` in all rows together.  ``tries``: rules that are grown, at most.
     """
     table, rules = ratios(table), []
-    left = np.ones(len(bad), bool)
-    third = np.arange(len(bad)) % 3 == 2
-    while len(rules) < most and (left & bad).sum() >= least and (left & ~bad).any():
-        grow, prune = left & ~third, left & third
-        pick = lambda mask: {k: v[mask] for k, v in table.items()}
-        if not (grow & bad).any():
+    part = np.arange(len(bad)) % 4
+    left, seeds = np.ones(len(bad), bool), bad.copy()
+    for _ in range(tries):
+        grow, prune, judge = left & (part < 2) & (seeds | ~bad), left & (part == 2), left & (part == 3)
+        if not (grow & bad).any() or not (grow & ~bad).any():
             break
+        pick = lambda mask: {k: v[mask] for k, v in table.items()}
         rule = _grow(pick(grow), bad[grow], longest)
         worth = []
         for k in range(1, len(rule) + 1):
@@ -165,60 +168,60 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, longest: int = 3, most:
         rule = rule[: -max(worth)[1]]
         hit = covers(rule, table, len(bad)) & left
         sure = lambda h: (h & bad).sum() >= precision * h.sum()
-        if not (sure(hit) and sure(hit & third) and (hit & bad).sum() >= least):
-            break
-        rules.append(rule)
-        left &= ~hit
+        if sure(hit) and sure(hit & judge) and (hit & judge & bad).sum() >= least:
+            rules.append(rule)
+            left &= ~hit
+        else:
+            seeds &= ~hit
     return rules
 
 
-def base_failed(prefix: str = "") -> Column:
-    words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    return (words < 50) | (100 * repeats > 50 * words)
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def verdict(rules: list[Rule], prefix: str = "") -> Column:
+def verdict(rules: list[Rule]) -> Column:
     """True unless a rule rejects: one ``CASE`` with the rules in order."""
-    decided = F.when(base_failed(prefix), False)
+    decided = F.when(base_failed(), False)
     for rule in rules:
         fits = F.lit(True)
         for condition in rule:
-            fits = fits & condition.column(prefix)
+            fits = fits & condition.column()
         decided = decided.when(fits, False)
     return decided.otherwise(True)
 
 
-def sampled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """(id, label): the labelled rows (1 good, 0 bad; null ids and labels don't count) with the smallest hashed ids, ``sample`` at most."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    return known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-
-
-def fit(stats: DataFrame, known: DataFrame, id_col: str = "doc_id", **options) -> list[Rule]:
-    """Rules from ``stats`` (id and ``COUNTS``) and ``known`` (see ``sampled``), which is bounded; a row is a few numbers, which are collected.
+def fit(stats: DataFrame, known: DataFrame, sample: int = SAMPLE, **options) -> list[Rule]:
+    """Rules from ``stats`` (id and ``COUNTS``) and ``known`` (id and label, see ``smallest``).
 
-    Texts that fail the base rules are left out: the list never decides on them.
+    Rows that agree in id and counts count once, and of each label ``sample`` rows are taken
+    at most, by hashed id, however many rows an id has; they are a few numbers each and are
+    collected.  Texts that fail the base rules are left out: the list never decides on them.
     """
-    rows = stats.select(F.col(id_col).alias("id"), *COUNTS).where(~base_failed()).join(F.broadcast(known), "id").select(F.xxhash64("id").alias("order"), "id", "label", *COUNTS).toArrow()
+    order = [F.xxhash64("id"), "id", *COUNTS]
+    joined = stats.select("id", *COUNTS).where(~base_failed()).join(F.broadcast(known), "id").distinct()
+    part = [joined.where(F.col("label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
+    rows = part[0].unionAll(part[1]).select(F.xxhash64("id").alias("order"), "id", "label", *COUNTS).toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("order", "id", "label", *COUNTS)])
     table = {c: rows.column(c).to_numpy() for c in COUNTS}
     return learn(table, rows.column("label").to_numpy() == 0, **options)
 
 
-def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
     """One row for each row of ``docs``: id, ``COUNTS``, base_failed and kept.
 
     Null and empty texts have no words and fail the base rules; repeated rows are returned
-    as often as they come; without labels of both kinds only the base rules decide.
+    as often as they come; without labels of both kinds only the base rules decide.  Other
+    columns don't matter; of columns with equal names the first is meant.
     """
-    stats = cut(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).drop("text"))
-    rules = fit(stats, sampled(labels, id_col), "id", **options)
+    stats = cut(with_statistics(picked(docs, id=id_col, text=text_col)).drop("text"))
+    rules = fit(stats, cut(smallest(labelled(labels, id_col, label_col), SAMPLE)), **options)
     return stats.select(F.col("id").alias(id_col), *COUNTS, base_failed().alias("base_failed"), verdict(rules).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
-    """The rows of ``docs`` that neither the base rules nor the learned list rejects, with the columns of ``docs``."""
-    known = cut(sampled(labels, id_col, label_col))
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("id").distinct()), "id", "left_semi")
-    rules = fit(with_statistics(some).drop("text"), known, "id", **options)
-    return with_statistics(docs, text_col, "__").where(verdict(rules, "__")).select(*docs.columns)
+    """The rows of ``docs`` that neither the base rules nor the learned list rejects, with the columns of ``docs``, whatever their names."""
+    known = cut(smallest(labelled(labels, id_col, label_col), SAMPLE))
+    some = picked(docs, id=id_col, text=text_col).join(F.broadcast(known.select("id").distinct()), "id", "left_semi")
+    rules = fit(with_statistics(some).drop("text"), known, **options)
+    return restored(with_statistics(by_place(docs), place(docs, text_col)).where(verdict(rules)), docs)
