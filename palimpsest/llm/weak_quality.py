@@ -25,37 +25,34 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.linear import logistic, sigmoid
 from palimpsest.llm.quality_rules import COUNTS, RATIOS, ratios, with_statistics
-from palimpsest.llm.shared import cut, sent, texts
+from palimpsest.llm.shared import by_place, cut, picked, place, sent, texts
 
-#: name, ratio, bad from this on (None: never calls bad), good below this (None: never calls good).
-#: Labellers that look for one kind of damage only call bad; the absence of that kind says little.
+#: name, ratio, bad from this on, good below this (None: never calls good).  One labeller for each
+#: statistic, so that no number is counted as evidence twice; the absence of shouted marks or of
+#: copied lines says little, so those labellers only call bad.
 LABELLERS = (
-    ("symbols", "symbols_per_word", 0.25, None),
-    ("shouting", "upper_share", 0.5, None),
+    ("symbols", "symbols_per_word", 0.25, 0.1),
+    ("capitals", "upper_share", 0.5, 0.15),
     ("marks", "marks_per_word", 0.5, None),
-    ("repetition", "repeat_share", 0.5, None),
+    ("repetition", "repeat_share", 0.5, 0.2),
     ("copied_lines", "dup_lines_share", 0.5, None),
-    ("plain_letters", "symbols_per_word", None, 0.1),
-    ("sentence_case", "upper_share", None, 0.15),
-    ("fresh_words", "repeat_share", None, 0.2),
 )
 #: Texts that the scorer is trained on, at most.
 SAMPLE = 5_000
 BUCKETS = 1 << 16
 
 
-def ratio(name: str, prefix: str = "") -> Column:
+def ratio(name: str) -> Column:
     top, bottom = RATIOS[name]
-    return F.col(prefix + top).cast("double") / F.greatest(F.col(prefix + bottom), F.lit(1)).cast("double")
+    return F.col(top).cast("double") / F.greatest(F.col(bottom), F.lit(1)).cast("double")
 
 
-def votes(prefix: str = "") -> Column:
+def votes() -> Column:
     """One character for each labeller: ``+`` good, ``-`` bad, ``0`` silent.  All are silent on texts of under 10 words."""
     said = []
     for _, name, bad, good in LABELLERS:
-        vote = F.when(F.col(f"{prefix}n_words") < 10, "0")
-        vote = vote.when(ratio(name, prefix) >= bad, "-") if bad is not None else vote
-        vote = vote.when(ratio(name, prefix) < good, "+") if good is not None else vote
+        vote = F.when(F.col("n_words") < 10, "0").when(ratio(name) >= bad, "-")
+        vote = vote.when(ratio(name) < good, "+") if good is not None else vote
         said.append(vote.otherwise("0"))
     return F.concat(*said)
 
@@ -136,8 +133,8 @@ def features(text: bytes, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[bucket, level.astype(np.int64)], np.r_[share, np.full(len(level), 1 / np.sqrt(len(level)))]
 
 
-def _levels(batch: pa.RecordBatch, prefix: str) -> np.ndarray:
-    table = {c: batch.column(batch.schema.get_field_index(prefix + c)).to_numpy() for c in COUNTS}
+def _levels(batch: pa.RecordBatch) -> np.ndarray:
+    table = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in COUNTS}
     return np.column_stack(list(ratios(table).values()))
 
 
@@ -147,7 +144,7 @@ def train(sample: DataFrame, penalty: float = 1e-6) -> tuple[np.ndarray, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, bucket, value, target, n = [], [], [], [], 0
         for batch in batches:
-            levels = _levels(batch, "")
+            levels = _levels(batch)
             target.append(batch.column(1).to_numpy())
             for k, text in enumerate(texts(batch.column(0))):
                 b, v = features(text, levels[k])
@@ -162,38 +159,43 @@ def train(sample: DataFrame, penalty: float = 1e-6) -> tuple[np.ndarray, float]:
 
 
 def with_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with votes, posterior and score (0 to 1) of each whole text; all rows and other columns stay.
+    """The columns of ``by_place(docs)`` with votes, posterior and score (0 to 1) of each whole text; all rows stay.
 
     Null and empty texts and those of under 10 words have silent labellers, so their
-    posterior is the share of good texts.  An empty table gives no rows.
+    posterior is the share of good texts.  An empty table gives no rows.  Of columns with
+    equal names the first is meant.
     """
-    counted = with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    slim = cut(counted.select("id", F.xxhash64("text").alias("hash"), votes().alias("votes"), *COUNTS))
+    rows, text = by_place(docs), place(docs, text_col)
+    slim = picked(docs, id=id_col, text=text_col)
+    slim = cut(with_statistics(slim).select("id", F.xxhash64("text").alias("hash"), votes().alias("votes"), *COUNTS))
     trust = learn_trust(slim)
     some = slim.select(F.xxhash64("id").alias("o"), "id", "hash").distinct().orderBy("o", "id", "hash").limit(sample)
-    texts_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
-    chosen = texts_.join(F.broadcast(some.select("id", "hash")), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    texts_ = picked(docs, id=id_col, text=text_col).withColumn("hash", F.xxhash64("text"))
+    chosen = texts_.join(F.broadcast(cut(some).select("id", "hash")), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
     weights, intercept = train(with_statistics(chosen.select("text")).withColumn("votes", votes()).withColumn("target", posterior(trust)))
 
     known = sent(docs.sparkSession, (weights.astype(np.float32), intercept))
-    prefixed = with_statistics(docs, text_col, "__")
-    at = docs.columns.index(text_col)
-    schema = prefixed.select("*", F.lit(0.0).alias("score")).schema
+    counted = with_statistics(rows, text)
+    at = rows.columns.index(text)
+    schema = counted.select("*", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercept = known()
         for batch in batches:
-            levels, scores = _levels(batch, "__"), []
+            levels, scores = _levels(batch), []
             for k, text in enumerate(texts(batch.column(at))):
                 bucket, value = features(text, levels[k])
                 scores.append(float(weights[bucket] @ value) + intercept)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(np.array(scores)), pa.float64())], [*batch.schema.names, "score"])
 
-    scored = prefixed.mapInArrow(run, schema).withColumn("votes", votes("__"))
-    return scored.withColumn("posterior", posterior(trust)).drop(*[f"__{c}" for c in COUNTS])
+    scored = counted.mapInArrow(run, schema).withColumn("votes", votes())
+    return scored.select(*rows.columns, "votes", posterior(trust).alias("posterior"), "score")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """(id, votes, posterior, score, kept): one row for each row of ``docs``; kept is a score of ``threshold`` or more."""
-    scored = with_quality(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **options)
-    return scored.select(F.col("id").alias(id_col), "votes", "posterior", "score", (F.col("score") >= threshold).alias("kept"))
+    """(id, votes, posterior, score, kept): one row for each row of ``docs``; kept is a score of ``threshold`` or more.
+
+    Nulls, short texts and repeats are as in ``with_quality``; other columns don't matter.
+    """
+    scored = with_quality(picked(docs, id=id_col, text=text_col), "id", "text", **options)
+    return scored.select(F.col("c0").alias(id_col), "votes", "posterior", "score", (F.col("score") >= threshold).alias("kept"))
