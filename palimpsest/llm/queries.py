@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import chat, decontaminate, mixing, quality_rules, simhash, token_counts, toxicity, url_filter, warc, weak_quality
-from palimpsest.llm.shared import checkpoint_dir
+from palimpsest.llm.shared import checkpoint_dir, cut, gone
 from palimpsest.session import table
 
 
@@ -53,7 +53,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}")
+    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    found = cut(warc.round_trip(table(spark, sf_dir, "pages"), folder))
+    gone(spark, folder)
+    return found
 
 
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,21 +98,20 @@ from docs left join hits h using (r) left join named m using (r)""",
 with turns as (
   select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
 numbered as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i,
-    max(case when role = 'assistant' then 1 else 0 end) over (partition by conv_id order by turn desc nulls last, role desc, text desc) later
-  from turns),
-chosen as (select conv_id, i, role, text, '<|' || role || '|>' || chr(10) as head, i = max(i) over (partition by conv_id) is_last from numbered where later = 1),
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i, '<|' || role || '|>' || chr(10) as head from turns),
+answers as (select conv_id, max(i) as at from numbered where role = 'assistant' group by conv_id),
+last_ as (select n.* from numbered n join answers a on n.conv_id = a.conv_id and n.i = a.at),
 swapped as (
-  select c.conv_id, c.i, case when c.is_last then o.role else c.role end as role, case when c.is_last then o.text else c.text end as text,
-    case when c.is_last then o.head else c.head end as head
-  from chosen c join chosen o on o.conv_id = xor(c.conv_id, 1) and o.is_last),
+  select c.conv_id, c.i, case when c.i = a.at then o.role else c.role end as role, case when c.i = a.at then o.text else c.text end as text,
+    case when c.i = a.at then o.head else c.head end as head
+  from numbered c join answers a on a.conv_id = c.conv_id join last_ o on o.conv_id = xor(c.conv_id, 1)),
 pairs as (
   select a.conv_id, a.i, a.role, a.text, a.head, b.role as role2, b.text as text2, b.head as head2,
-    bool_or(a.role <> b.role or a.text <> b.text) over (partition by a.conv_id order by a.i) as apart
-  from chosen a join swapped b on a.conv_id = b.conv_id and a.i = b.i),
+    bool_or(b.conv_id is null or a.role <> b.role or a.text <> b.text) over (partition by a.conv_id order by a.i) as apart
+  from numbered a left join swapped b on a.conv_id = b.conv_id and a.i = b.i),
 long_ as (
   select conv_id, i, apart, 1 as side, role, head, text from pairs union all
-  select conv_id, i, apart, 2, role2, head2, text2 from pairs),
+  select conv_id, i, apart, 2, role2, head2, text2 from pairs where role2 is not null),
 placed as (
   select *, head || text || '<|end|>' || chr(10) as whole,
     coalesce(sum(len(head) + len(text) + 8) over (partition by conv_id, side, apart order by i rows between unbounded preceding and 1 preceding), 0) + len(head) as pos
@@ -175,7 +177,7 @@ n{n} as (
 c{n} as (
   select *, sum(a) over c a_all, sum(b) over c b_all, sum((a > 0)::int) over c a_kinds, sum((b > 0)::int) over c b_kinds from n{n} window c as (partition by substr(g, 1, {n - 1})))"""
         if n == 1:
-            chance = lambda k: f"({k} + 1.0::double) / ({k}_all + {url_filter.ALPHABET}.0::double)"
+            chance = lambda k: f"({k} + 1.0::double) / ({k}_all + (select count(distinct substr(gram, {url_filter.ORDER}, 1)) from counts)::double)"
             levels.append(f"{base},\np1 as (select g, {chance('a')} pa, {chance('b')} pb from c1)")
         else:
             chance = lambda k: f"case when {k}_all = 0 then p.p{k} else ({k} + {k}_kinds * p.p{k}) / cast({k}_all + {k}_kinds as double) end"
@@ -187,12 +189,12 @@ parts as (
   select r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from rests),
 judged as (
   select *, {case(1)} "rule", {case(0)} said, substr(md5(host || path), 1, 1) < '4' tested,
-    '^^^' || regexp_replace(regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^a-z0./_\-]', '?', 'g') || '$' spelt
+    repeat(chr(2), {url_filter.ORDER - 1}) || host || path || chr(3) spelt
   from parts),
-grams as (select r, said, tested, substr(spelt, i, 4) gram from (select *, unnest(range(1, len(spelt) - 2)) i from judged)),
+grams as (select r, said, tested, substr(spelt, i, {url_filter.ORDER}) gram from (select *, unnest(range(1, len(spelt) - {url_filter.ORDER} + 2)) i from judged)),
 counts as (
   select gram, count(*) filter (said = 'allow' and not tested) a, count(*) filter (said = 'block' and not tested) b from grams group by 1),{",".join(levels)},
-scored as (select r, avg(ln(pa) - ln(pb)) score from grams join p4 on g = gram group by 1),
+scored as (select r, round(cast(sum(cast(round(ln(pa) - ln(pb), 6) as decimal(18, 6))) as double) / count(*), 9) score from grams join p{url_filter.ORDER} on g = gram group by 1),
 bins as (
   select greatest(-2000, least(2000, cast(floor(score * 100) as int))) bin, count(*) filter (said = 'allow') a, count(*) filter (said = 'block') b
   from judged join scored using (r) where said is not null and tested group by 1),
