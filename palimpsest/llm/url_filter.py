@@ -119,25 +119,26 @@ def judged(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str],
     other columns don't matter, and of columns with equal names the first is meant.
     """
     keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict", "score"))
-    pages_ = by_place(pages)
     host, path = parts(F.col(place(pages, url_col)))
     kept = F.struct(*[F.col(place(pages, c)).alias(f"k{k}") for k, c in enumerate(keep)]) if keep else F.lit(0)
-    rows = pages_.select(kept.alias("kept"), host.alias("host"), path.alias("path")).withColumn("found", fitting(rules)).withColumn("spelt", spelling())
-    decided = F.col("found.verdict") == "allow"
     tested = F.col("found").isNotNull() & (F.substring(F.md5(F.concat("host", "path")), 1, 1) < "4")
-    counted = lambda yes: F.sum(F.coalesce((decided == yes) & ~tested, F.lit(False)).cast("long"))
-    counts = cut(grams(rows.select("spelt", "found", "host", "path")).groupBy("gram").agg(counted(True).alias("allowed"), counted(False).alias("blocked")))
+    decided = F.col("found.verdict") == "allow"
+    rows = by_place(pages).select(kept.alias("kept"), host.alias("host"), path.alias("path")).withColumn("found", fitting(rules)).withColumn("tested", tested)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    # What is laid out character by character has no column that is as long as the URL.
+    counted = lambda yes: F.coalesce((decided == yes) & ~F.col("tested"), F.lit(False)).cast("long")
+    flags = rows.select(spelling().alias("spelt"), counted(True).alias("a"), counted(False).alias("b"))
+    counts = cut(grams(flags).groupBy("gram").agg(F.sum("a").alias("allowed"), F.sum("b").alias("blocked")))
     table = cut(ratios(counts).withColumn("ratio", F.round("ratio", 6).cast("decimal(18,6)")))
-    spread = grams(rows.withColumn("row", F.monotonically_increasing_id()))
+    spread = grams(rows.select("row", spelling().alias("spelt")))
     if table.count() <= BROADCAST_GRAMS:
         found = spread.join(F.broadcast(table), "gram")
     else:
         salts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = spread.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salts, ["gram", "salt"])
     # Sums of decimals don't depend on the order of rows, so a rerun gives the same score.
-    score = F.sum("ratio").cast("double") / F.count("*")
-    names = ["kept", "host", "path", "found"]
-    scored = cut(found.groupBy("row").agg(*[F.first(c).alias(c) for c in names], F.round(score, 9).alias("score")))
-    least = threshold(scored.where(tested).select("score", decided.alias("allow")))
+    scores = found.groupBy("row").agg(F.round(F.sum("ratio").cast("double") / F.count("*"), 9).alias("score"))
+    scored = cut(rows.join(scores, "row"))
+    least = threshold(scored.where("tested").select("score", decided.alias("allow")))
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("score") >= least, "allow").otherwise("block"))
     return scored.select(*[F.col(f"kept.k{k}").alias(c) for k, c in enumerate(keep)], "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")
