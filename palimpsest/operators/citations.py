@@ -125,7 +125,9 @@ def issues(citations: DataFrame, references: DataFrame, style: str | None = None
     """(doc_id, category, type, severity, citation, detail): a row for each issue.
 
     All joins are on doc_id and a key within it.  Both tables are computed once and kept,
-    since most categories read them.  ``style``: the style that the venue expects.
+    since most categories read them.  ``style``: the style that the venue expects.  Missing
+    numbers are listed one by one; of ``MOST_IN_RANGE`` or more in a row, the range is.
+    Numbers beyond 64 bits are no numbers.
     """
     cites = citations.select("doc_id", F.col("position").alias("at"), "text", F.lower(T.text_of(F.col("citation_type"))).alias("kind"), cited_ids().alias("ids"))
     cites = reliable(cites)
@@ -167,16 +169,18 @@ def issues(citations: DataFrame, references: DataFrame, style: str | None = None
     same = refs.where("key is not null").groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("position", "id"))).alias("all")).where("size(all) > 1")
     add(same, "duplicate_references", "duplicate_reference", F.array_join(F.transform("all", lambda r: r["id"]), ", "), F.col("key"))
 
-    numbers = refs.where("id rlike '^[0-9]+$'").withColumn("n", F.col("id").cast("long"))
-    top = numbers.groupBy("doc_id").agg(F.max("n").alias("top"))
-    gaps = top.where("top >= 1").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top"))).alias("n")).join(numbers.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_anti")
-    add(gaps, "numbering_issues", "missing_reference_number", bracket(F.col("n")))
+    numbers = refs.where("id rlike '^[0-9]+$'").withColumn("n", F.expr("try_cast(id as bigint)")).where("n is not null")
+    top = numbers.select("doc_id").distinct()
+    before = F.coalesce(F.lag("n").over(Window.partitionBy("doc_id").orderBy("n")), F.lit(0).cast("long"))
+    gaps = numbers.where("n >= 1").select("doc_id", "n").distinct().select("doc_id", (before + 1).alias("low"), (F.col("n") - 1).alias("high")).where("low <= high")
+    each_gap = F.when(F.col("high") - F.col("low") < MOST_IN_RANGE, F.transform(F.sequence("low", F.least("high", F.col("low") + MOST_IN_RANGE)), bracket)).otherwise(F.array(bracket(F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string")))))
+    add(gaps.select("doc_id", F.explode(each_gap).alias("gap")), "numbering_issues", "missing_reference_number", "gap")
     first = each.where("id rlike '^[0-9]+$'").groupBy("doc_id", "id").agg(F.min(F.struct("at", "k")).alias("first"))
     turn = first.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))).join(top, "doc_id", "left_semi")
-    wrong = turn.where("cast(id as bigint) <> turn").groupBy("doc_id").agg(F.min(F.struct("turn", "id")).alias("w"))
+    wrong = turn.where("try_cast(id as bigint) <> turn").groupBy("doc_id").agg(F.min(F.struct("turn", "id")).alias("w"))
     add(wrong, "numbering_issues", "incorrect_citation_order", bracket(F.col("w.id")), F.col("w.turn"))
     placed = refs.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("position")))
-    add(placed.where("id rlike '^[0-9]+$' and cast(id as bigint) <> place"), "numbering_issues", "bibliography_order", bracket(F.col("id")), F.col("place"))
+    add(placed.where("id rlike '^[0-9]+$' and try_cast(id as bigint) <> place"), "numbering_issues", "bibliography_order", bracket(F.col("id")), F.col("place"))
 
     shown = F.when(F.col("id") != "", F.col("id")).otherwise("?")
     body = T.strip(F.col("raw_text"))

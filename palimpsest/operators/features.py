@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.arrow import aligned_blocks, nfkc, offset_tokens
+from palimpsest.operators.blocks import against
 
 NAMES = ("exact_phrase_match", "word_overlap", "char_overlap", "tfidf_cosine", "semantic_cosine", "distinctive_phrase_ratio", "passage_length_ratio", "citation_context_indicator")
 #: How the features add up, and from where on a pair is suspicious.
@@ -97,6 +100,45 @@ def tfidf_cosine(pairs: DataFrame, a_vectors: DataFrame, b_vectors: DataFrame) -
     return pairs.join(dots, ["a", "b"], "left").withColumn("tfidf_cosine", T.half_even(F.coalesce("dot", F.lit(0.0)))).drop("dot")
 
 
+def extracted(pairs: DataFrame, a: str = "source_text", b: str = "suspicious_text", fitted_on: DataFrame | None = None, least: int = 4, threshold: float = 0.75) -> DataFrame:
+    """``pairs`` with all features that need no embedding model.
+
+    The lexical block, exact_phrase_match (1 where a phrase of ``exact_phrases`` is found),
+    tfidf_cosine (fitted on the distinct texts of the pairs, or on column ``text`` of
+    ``fitted_on``) and citation_context_indicator (whether the suspicious text has a citation).
+    """
+    keyed = pairs.withColumns({"__x": F.xxhash64(a, F.lit(0)), "__y": F.xxhash64(b, F.lit(0))})
+    texts = keyed.select(F.col("__x").alias("id"), F.col(a).alias("text")).unionAll(keyed.select(F.col("__y").alias("id"), F.col(b).alias("text"))).dropDuplicates(["id"])
+    vectors = tfidf(texts, "id", "text", fitted_on, most=None)
+    cosine = tfidf_cosine(keyed.select(F.col("__x").alias("a"), F.col("__y").alias("b")).distinct(), vectors, vectors).withColumnsRenamed({"a": "__x", "b": "__y"})
+    rows = exact_phrases(lexical(keyed, a, b), a, b, least, threshold)
+    rows = rows.withColumns({"exact_phrase_match": (F.size("phrases") > 0).cast("double"), "citation_context_indicator": T.has_citation(F.col(b)).cast("int")}).drop("phrases")
+    return rows.join(cosine, ["__x", "__y"]).drop("__x", "__y")
+
+
+def chunks(value: Column, size: int = 1500, shared: int = 150) -> Column:
+    """A text cut into pieces of ``size`` characters, each starting with the last ``shared`` ones of the piece before."""
+    step = size - shared
+    last = F.greatest(F.lit(0), F.ceil((F.length(value) - size) / step)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(value, k * step + 1, F.lit(size)))
+
+
+def embedded(docs: DataFrame, id_col: str, text_col: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """(id, vector): texts encoded piece by piece and pooled (see ``chunks`` and ``pooled``); ``encode`` gives a row for each text of a list.
+
+    Null and blank texts have no vector.  ``encode`` runs in Arrow batches and is sent to the workers.
+    """
+    pieces = docs.where(T.squeeze(F.col(text_col)) != "").select(F.col(id_col).alias("id"), F.explode(chunks(F.col(text_col))).alias("piece"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.asarray(encode(batch.column(1).to_pylist()), float) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], ["id", "vector"])
+
+    kind = pieces.schema["id"].dataType.simpleString()
+    return pooled(pieces.mapInArrow(run, f"id {kind}, vector array<double>"), "id", "vector")
+
+
 def counter_cosine(a: Column, b: Column) -> Column:
     """Cosine of two token arrays' counts; 0 if either is empty."""
     count = lambda t, x: F.size(F.filter(x, lambda y: y == t)).cast("double")
@@ -155,27 +197,31 @@ def pooled(chunks: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return each.groupBy("id").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"])).alias("vector"))
 
 
+def _most_similar(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+    """For each query the most similar other row of ``corpus``, of equals the one with the smallest id."""
+    matrix = lambda t: t.column("vector").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    names, out = ["query_id", "corpus_id", "similarity"], []
+    if queries.num_rows and corpus.num_rows:
+        corpus = corpus.sort_by("id")
+        ids, mine = corpus.column("id").to_numpy(), queries.column("id").to_numpy()
+        product = matrix(queries) @ matrix(corpus).T
+        product[mine[:, None] == ids] = -np.inf
+        best = np.argmax(np.round(product, 12), axis=1)
+        value = product[np.arange(len(mine)), best]
+        out = [(q, i, v) for q, i, v in zip(mine.tolist(), ids[best].tolist(), value.tolist()) if v > -np.inf]
+    columns = list(zip(*out)) if out else [[]] * 3
+    return pa.table([pa.array(columns[0], queries.schema.field("id").type), pa.array(columns[1], corpus.schema.field("id").type), pa.array(columns[2], pa.float64())], names)
+
+
 def best_match(queries: DataFrame, corpus: DataFrame, threshold: float = 0.82, block: int = 4096) -> DataFrame:
     """(query_id, corpus_id, similarity): the most similar corpus vector for each query, if it reaches ``threshold`` (ties: smallest id).
 
-    Columns id and vector, of length one.  Exact: the corpus is cut into blocks of about
-    ``block`` vectors, each block one array; queries meet blocks, not rows, and the product
-    of a query with a block is one Arrow batch of matrix products.
+    Columns id (an integer) and vector, of length one, without nulls; a row is never its own
+    answer.  Exact: chunks of queries meet blocks of the corpus, of about ``block`` vectors
+    each, in one matrix product; a row for each query and block comes back.
     """
-    size = max(1, -(-corpus.count() // block))
-    blocks = corpus.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(size))).groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("vector").alias("vectors"))
-    dealt = queries.select(F.col("id").alias("query_id"), "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("block"))
-
-    @F.pandas_udf("struct<at:int,similarity:double>")
-    def nearest(vector: pd.Series, ids: pd.Series, vectors: pd.Series) -> pd.DataFrame:
-        out = []
-        for v, i, m in zip(vector, ids, vectors):
-            s = np.stack(list(m)) @ np.asarray(v, float)
-            top = np.flatnonzero(np.round(s, 12) == np.round(s.max(), 12))
-            k = min(top, key=lambda j: i[j])
-            out.append((int(k), float(s[k])))
-        return pd.DataFrame(out, columns=["at", "similarity"])
-
-    found = dealt.join(blocks, "block").withColumn("n", nearest("vector", "ids", "vectors")).select("query_id", F.element_at("ids", F.col("n.at") + 1).alias("corpus_id"), "n.similarity")
+    kind = corpus.schema["id"].dataType.simpleString()
+    slim = lambda rows: rows.select("id", "vector").where("id is not null and vector is not null")
+    found = against(slim(queries), slim(corpus), lambda _: F.lit(1), block, _most_similar, f"query_id {queries.schema['id'].dataType.simpleString()}, corpus_id {kind}, similarity double")
     best = F.min(F.struct((-F.round("similarity", 12)).alias("order"), "corpus_id", "similarity")).alias("b")
     return found.groupBy("query_id").agg(best).select("query_id", "b.corpus_id", "b.similarity").where(F.col("similarity") >= threshold)

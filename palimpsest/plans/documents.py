@@ -210,8 +210,9 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set (ids divisible by 20) against all documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return evaluation.retrieval_ranks(docs.where("id % 20 = 0"), docs.where("id % 20 <> 0"))
+    return evaluation.retrieval_ranks(docs.where("id % 20 = 0"), docs)
 
 
 def retrieval_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +221,7 @@ def retrieval_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = duplicates.near_groups(table(spark, sf_dir, "documents"))
-    truth = groups.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "group_id").join(groups.where("doc_id % 20 <> 0").select(F.col("doc_id").alias("corpus_id"), "group_id"), "group_id").select("query_id", "corpus_id")
+    truth = groups.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "group_id").join(groups.select(F.col("doc_id").alias("corpus_id"), "group_id"), "group_id").where("query_id <> corpus_id").select("query_id", "corpus_id")
     return evaluation.recall_at(_retrieved(spark, sf_dir), truth)
 
 
@@ -245,8 +246,8 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.exact_phrases(features.lexical(_labelled(spark, sf_dir)), least=3, threshold=0.6).withColumn("exact_phrase_match", (F.size("phrases") > 0).cast("double")).drop("phrases")
-    names = ("exact_phrase_match", "word_overlap", "char_overlap", "distinctive_phrase_ratio", "passage_length_ratio")
+    rows = features.extracted(_labelled(spark, sf_dir))
+    names = tuple(n for n in features.NAMES if n != "semantic_cosine")
     scored = evaluation.predict(evaluation.train(rows, names), rows)
     return scored.select("suspicious_document_id", "source_document_id", "label", "score", "predicted", evaluation.lexical_baseline("word_overlap", "char_overlap").alias("baseline"), features.weighted_score_of(names).alias("weighted"))
 
@@ -324,7 +325,7 @@ _MISSING = ", ".join(f"case when not regexp_matches(t, '{p}') then '{n}' end" fo
 _RANKS = r"""
 sets as (select doc_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+(?:[''’\-][A-Za-z0-9]+)*'), lambda x: lower(x))) w from documents),
 tokens as (select doc_id, len(w) n, unnest(w) t from sets),
-shared as (select a.doc_id q, b.doc_id c, a.n, b.n m, count(*) k from tokens a join tokens b using (t) where a.doc_id % 20 = 0 and b.doc_id % 20 <> 0 group by all),
+shared as (select a.doc_id q, b.doc_id c, a.n, b.n m, count(*) k from tokens a join tokens b using (t) where a.doc_id % 20 = 0 and b.doc_id <> a.doc_id group by all),
 ranks as (select q query_id, c corpus_id, k / (n + m - k) similarity, row_number() over (partition by q order by k / (n + m - k) desc, c) "rank" from shared)"""
 
 SQL = {
@@ -407,7 +408,7 @@ select threshold, sum(hits) over (order by threshold desc) / sum(n) over (order
     "retrieval_ranks": f'with {_RANKS} select * from ranks where "rank" <= 5',
     "retrieval_recall": f"""
 with recursive {GROUPS}, {_RANKS},
-truth as (select a.doc_id query_id, b.doc_id corpus_id from groups a join groups b using (group_id) where a.doc_id % 20 = 0 and b.doc_id % 20 <> 0)
+truth as (select a.doc_id query_id, b.doc_id corpus_id from groups a join groups b using (group_id) where a.doc_id % 20 = 0 and b.doc_id <> a.doc_id)
 select count(*) queries, avg(case when "rank" <= 1 then 1.0 else 0.0 end) recall_at_1, avg(case when "rank" <= 5 then 1.0 else 0.0 end) recall_at_5, avg(case when "rank" <= 10 then 1.0 else 0.0 end) recall_at_10
 from truth left join ranks using (query_id, corpus_id)""",
     "latest_state": """

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import duplicates, features, overlap
+from palimpsest.operators import duplicates, features, overlap, report
+from palimpsest.operators.graph import reliable
 from palimpsest.plans.prelude import ALIGNED, PASSAGES, words
 from palimpsest.session import table
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.passages(overlap.paragraphs(table(spark, sf_dir, "documents").where("text is not null")))
+    return overlap.passages(overlap.paragraphs(table(spark, sf_dir, "documents")))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def html_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boilerplate_and_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.exclusions(_found(spark, sf_dir))
+    return overlap.exclusions(_found(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,7 @@ def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
-    rows = overlap.document_report(_matches(spark, sf_dir), overlap.exclusions(found))
+    rows = overlap.document_report(_matches(spark, sf_dir), overlap.exclusions(found, table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "scored_words", "boilerplate_passages", "matched_words", "suspected_words", "match_count", "source_count", "exact_count", "overall_similarity", "score_status")
 
 
@@ -130,10 +131,10 @@ def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weighted score of matched pairs from the features that need no model."""
-    rows = features.lexical(_pairs(spark, sf_dir))
-    names = ("word_overlap", "char_overlap", "distinctive_phrase_ratio")
-    return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph_index", "sentence_index")], "source_id", F.col("source_sentence").cast("long").alias("source_sentence"), F.round(sum((F.col(c) * features.WEIGHTS[c] for c in names), F.lit(0.0)), 6).alias("score"))
+    """The weighted score of matched pairs from all features that need no embedding model; terms' frequencies are the benchmark's."""
+    rows = features.extracted(_pairs(spark, sf_dir), fitted_on=table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    score = features.weighted_score_of(tuple(n for n in features.NAMES if n != "semantic_cosine"))
+    return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph_index", "sentence_index")], "source_id", F.col("source_sentence").cast("long").alias("source_sentence"), "exact_phrase_match", "tfidf_cosine", score.alias("score"), F.when(score >= features.SUSPICIOUS, "suspicious").otherwise("clean").alias("label"))
 
 
 def classifier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +153,39 @@ def offset_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), features.unit(F.col("embedding")).alias("vector"))
-    found = features.best_match(vectors.where("id % 20 = 0"), vectors.where("id % 20 <> 0"), threshold=-1.0)
+    found = features.best_match(vectors.where("id % 20 = 0"), vectors, threshold=-1.0)
     return found.select("query_id", "corpus_id", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = (sentence_split, token_stats, word_ngram_topk, passage_windows, html_text_scan, boilerplate_and_exclusions, candidate_pairs, alignment_scores, match_report, source_summary, document_overlap, match_warnings, exact_duplicates, near_duplicates, duplicate_groups, lexical_features, exact_phrases, tfidf_terms, tfidf_cosine, weighted_score, classifier_candidates, offset_to_page, semantic_best_match)
+def _semantic(spark: SparkSession, sf_dir: str, lexical: DataFrame) -> DataFrame:
+    """Vectors as passages (the stated query set: ids divisible by 20) of documents without a lexical match, against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source_id"), features.unit(F.col("embedding")).alias("vector"))
+    passages = vectors.where("source_id % 20 = 0").select(F.col("source_id").alias("doc_id"), F.lit(0).alias("paragraph_index"), F.lit(0).alias("sentence_index"), "vector", F.concat(F.lit("v"), "source_id").alias("own"))
+    return report.semantic_matches(passages.join(lexical.select("doc_id").distinct(), "doc_id", "left_anti"), vectors.withColumn("source_id", F.concat(F.lit("v"), "source_id")), 0.4)
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lexical, semantic and external matches; an exact copy counts as what an external provider has found."""
+    lexical = reliable(_matches(spark, sf_dir))
+    external = duplicates.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("x"), "duplicate_of").alias("source_id"), F.lit(1.0).alias("similarity"))
+    return lexical, _semantic(spark, sf_dir, lexical), external
+
+
+def semantic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _semantic(spark, sf_dir, _matches(spark, sf_dir))
+    return rows.select("doc_id", "source_id", "similarity", "method", "classification")
+
+
+def match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.group_sources(report.groups(*_routed(spark, sf_dir)))
+
+
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    excluded = overlap.exclusions(_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return report.summary(*_routed(spark, sf_dir), excluded).drop("references_words", "boilerplate_passages")
+
+
+QUERIES = (sentence_split, token_stats, word_ngram_topk, passage_windows, html_text_scan, boilerplate_and_exclusions, candidate_pairs, alignment_scores, match_report, source_summary, document_overlap, match_warnings, exact_duplicates, near_duplicates, duplicate_groups, lexical_features, exact_phrases, tfidf_terms, tfidf_cosine, weighted_score, classifier_candidates, offset_to_page, semantic_best_match, semantic_matches, match_groups, report_summary)
 
 _ALNUM = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _SHINGLED = f"""
@@ -197,6 +226,18 @@ lexical as (
     least(len(x), len(y)) / greatest(len(x), len(y)) passage_length_ratio
   from g)"""
 
+_SEMANTIC = """
+ev as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
+nearest as (
+  select q.vec_id doc_id, arg_min(c.vec_id, (-round(list_cosine_similarity(q.e, c.e), 12), 'v' || c.vec_id)) source_id, max(list_cosine_similarity(q.e, c.e)) s
+  from ev q, ev c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and q.vec_id not in (select doc_id from matches) group by 1),
+semantic as (select doc_id, 'v' || source_id source_id, round_even(s, 4) similarity from nearest where s >= 0.4)"""
+_ROUTED = """
+routed as (
+  select doc_id, 'lexical' "group", cast(source_id as varchar) source_id, round_even(ratio, 4) similarity from matches union all
+  select doc_id, 'semantic', source_id, similarity from semantic union all
+  select doc_id, 'external', 'x' || first_, 1.0::double from (select *, min(doc_id) over (partition by coalesce(text, '')) first_ from documents) where doc_id > first_)"""
+
 SQL = {
     "sentence_split": f"""
 with recursive {PASSAGES}
@@ -255,8 +296,44 @@ from (select *, min(doc_id) over (partition by coalesce(text, '')) first_ from d
     "duplicate_groups": f"with recursive {GROUPS} select * from groups",
     "lexical_features": f"with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL} select * from lexical",
     "weighted_score": f"""
-with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL}
-select doc_id, paragraph_index, sentence_index, source_id, source_sentence, round(0.0 + word_overlap * 0.20::double + char_overlap * 0.10::double + distinctive_phrase_ratio * 0.05::double, 6) score from lexical""",
+with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL},
+phrase as (
+  select doc_id, paragraph_index, sentence_index, source_id, source_sentence, max(case when bk.k >= 4 and bk.k >= 0.75 * least(len(a), len(b)) then 1.0::double else 0.0::double end) exact_phrase_match
+  from aligned left join blocks bk using (pid) group by all),
+known as (select count(*) n from benchmark where trim(text) <> ''),
+bw as (select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') w from benchmark),
+bt as (select distinct item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) term from bw),
+idf as (select term, ln((1 + any_value(n)) / (1 + count(*))) + 1 v from bt, known group by 1),
+both_ as (
+  select row_number() over () r, a.doc_id, a.paragraph_index, a.sentence_index, a.source_id, a.source_sentence, regexp_extract_all(lower(c.text), '[\\p{{L}}\\p{{N}}_]{{2,}}') x, regexp_extract_all(lower(p.text), '[\\p{{L}}\\p{{N}}_]{{2,}}') y, p.text ptext
+  from aligned a join passages p using (doc_id, paragraph_index, sentence_index) join corpus c using (source_id, source_sentence)),
+xt as (select r, term, count(*) * any_value(v) wt from (select r, unnest(list_concat(x, list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1]))) term from both_) join idf using (term) group by 1, 2),
+yt as (select r, term, count(*) * any_value(v) wt from (select r, unnest(list_concat(y, list_transform(range(1, len(y)), lambda i: y[i] || ' ' || y[i + 1]))) term from both_) join idf using (term) group by 1, 2),
+norms as (select r, sqrt(sum(wt * wt)) nx from xt group by 1), normsy as (select r, sqrt(sum(wt * wt)) ny from yt group by 1),
+dots as (select xt.r, sum(xt.wt * yt.wt) dot from xt join yt on xt.r = yt.r and xt.term = yt.term group by 1),
+cosine as (select b.*, round_even(coalesce(dot / (nx * ny), 0.0), 4) tfidf_cosine from both_ b left join dots using (r) left join norms using (r) left join normsy using (r)),
+scored_ as (
+  select c.doc_id, cast(c.paragraph_index as bigint) paragraph_index, cast(c.sentence_index as bigint) sentence_index, c.source_id, cast(c.source_sentence as bigint) source_sentence, exact_phrase_match, tfidf_cosine,
+    round_even(least(1.0, exact_phrase_match * 0.30::double + word_overlap * 0.20::double + char_overlap * 0.10::double + tfidf_cosine * 0.25::double + distinctive_phrase_ratio * 0.05::double), 4) score
+  from cosine c join phrase p on p.doc_id = c.doc_id and p.paragraph_index = c.paragraph_index and p.sentence_index = c.sentence_index and p.source_id = c.source_id and p.source_sentence = c.source_sentence
+  join lexical l on l.doc_id = c.doc_id and l.paragraph_index = c.paragraph_index and l.sentence_index = c.sentence_index and l.source_id = c.source_id and l.source_sentence = c.source_sentence)
+select *, case when score >= 0.55 then 'suspicious' else 'clean' end "label" from scored_""",
+    "semantic_matches": f"""
+with recursive {PASSAGES}, {ALIGNED}, {_SEMANTIC} select doc_id, source_id, similarity, 'semantic' "method", 'semantic_related' classification from semantic""",
+    "match_groups": f"""
+with recursive {PASSAGES}, {ALIGNED}, {_SEMANTIC}, {_ROUTED} select doc_id, "group", source_id, count(*) passage_count, max(similarity) max_similarity from routed group by all""",
+    "report_summary": f"""
+with recursive {PASSAGES}, {ALIGNED}, {_SEMANTIC}, {_ROUTED},
+p as (select doc_id, count(distinct (paragraph_index, sentence_index, token_index)) w, count(distinct (paragraph_index, sentence_index, token_index)) filter (classification = 'suspected_unattributed') sw from positions group by 1),
+m as (select doc_id, count(*) filter (classification = 'cited_match') cited, count(*) filter (classification in ('quotation', 'attributed_quotation')) quoted from matches group by 1),
+c as (
+  select doc_id, count(*) match_count, count(distinct source_id) source_count, count(*) filter ("group" = 'lexical') lm, count(*) filter ("group" = 'semantic') sm, count(*) filter ("group" = 'external') em,
+    count(distinct source_id) filter ("group" = 'lexical') ls, count(distinct source_id) filter ("group" = 'semantic') ss, count(distinct source_id) filter ("group" = 'external') es from routed group by 1)
+select e.doc_id, scored_words total_words, coalesce(w, 0) matched_words, coalesce(sw, 0) suspected_unattributed_words, coalesce(cited, 0) attributed_match_count, coalesce(quoted, 0) quotation_match_count,
+  case when scored_words > 0 then round_even(coalesce(w, 0) / scored_words, 4) end overall_similarity, case when scored_words > 0 then round_even(coalesce(sw, 0) / scored_words, 4) end suspected_unattributed_ratio,
+  case when scored_words > 0 then 'available' else 'insufficient_content' end score_status, coalesce(match_count, 0) match_count, coalesce(source_count, 0) source_count,
+  coalesce(lm, 0) lexical_match_count, coalesce(sm, 0) semantic_match_count, coalesce(em, 0) external_match_count, coalesce(ls, 0) lexical_source_count, coalesce(ss, 0) semantic_source_count, coalesce(es, 0) external_source_count
+from excluded e left join p using (doc_id) left join m using (doc_id) left join c using (doc_id)""",
     "classifier_candidates": f"""
 with recursive {PASSAGES}, {ALIGNED} select source_id, count(*) candidates, max(shared) most_shared from ranked where candidate_rank <= 10 group by 1""",
     "tfidf_terms": f"with {_TFIDF} select item_id, term, round(weight, 6) weight from vectors",
@@ -269,6 +346,6 @@ select source_id, cast(source_sentence as bigint) source_sentence, cast(st // 10
     "semantic_best_match": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
 s as (
-  select q.vec_id query_id, c.vec_id corpus_id, list_cosine_similarity(q.e, c.e) s from v q join v c on q.vec_id % 20 = 0 and c.vec_id % 20 <> 0)
+  select q.vec_id query_id, c.vec_id corpus_id, list_cosine_similarity(q.e, c.e) s from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
 select query_id, arg_min(corpus_id, (-round(s, 9), corpus_id)) corpus_id, round(max(s), 6) similarity from s group by 1""",
 }

@@ -78,5 +78,5 @@ matches as (
   from best where best = 1),
 positions as (select m.doc_id, m.source_id, m.match_id, m.classification, m.paragraph_index, m.sentence_index, unnest(range(mi, mi + k)) token_index from matches m join blocks using (pid)),
 excluded as (
-  select doc_id, cast(coalesce(sum(len(tokens)) filter (kind = 'scored'), 0) as bigint) scored_words, cast(0 as bigint) references_words, cast(count(*) filter (kind = 'boilerplate') as bigint) boilerplate_passages
-  from passages group by 1)"""
+  select d.doc_id, cast(coalesce(sum(len(tokens)) filter (kind = 'scored'), 0) as bigint) scored_words, cast(0 as bigint) references_words, cast(count(*) filter (kind = 'boilerplate') as bigint) boilerplate_passages
+  from (select distinct doc_id from documents) d left join passages p on p.doc_id = d.doc_id group by 1)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import arrow
 from palimpsest.functions import text as T
-from palimpsest.operators import citations, compliance, dashboard, duplicates, evaluation, features, journals, overlap, quality, state, structure
+from palimpsest.operators import citations, compliance, dashboard, duplicates, evaluation, features, journals, overlap, quality, report, state, structure
 from palimpsest.plans import documents as plans
 from palimpsest.sources import files, sinks
 
@@ -191,6 +191,95 @@ def test_best_match_blocks(spark):
     assert features.pooled(spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "id long, v array<double>"), "id", "v").first()["vector"] == pytest.approx([0.5**0.5] * 2)
 
 
+def test_best_match_leaves_out_itself(spark):
+    vectors = spark.createDataFrame([(k, [1.0, float(k % 4)]) for k in range(12)], "id long, e array<double>").select("id", features.unit(F.col("e")).alias("vector"))
+    found = {r["query_id"]: r["corpus_id"] for r in features.best_match(vectors, vectors, block=5).collect()}
+    assert found == {k: min(j for j in range(12) if j % 4 == k % 4 and j != k) for k in range(12)}
+    assert features.best_match(vectors.limit(0), vectors).count() == 0 and features.best_match(vectors, vectors.limit(0)).count() == 0
+
+
+def test_retrieval_in_blocks(spark):
+    """Chunks and blocks of any size give what all pairs give."""
+    import random
+
+    rng = random.Random(3)
+    texts = [(k, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(0, 12)))) for k in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    sets = {k: set((t or "").split()) for k, t in texts}
+    want = []
+    for q in range(0, 62, 7):
+        near = sorted(((-len(sets[q] & s) / len(sets[q] | s), k) for k, s in sets.items() if k != q and sets[q] & s))[:4]
+        want += [(q, k, -v, rank) for rank, (v, k) in enumerate(near, 1)]
+    for size in (10, 1 << 20):
+        found = evaluation.retrieval_ranks(docs.where("id % 7 = 0"), docs, 4, size).collect()
+        assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_precision_recall_in_ranges(spark):
+    scored = spark.range(3000).select(((F.col("id") * 7919 % 1009) / 1009).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    rows = [tuple(r) for r in scored.collect()]
+    for r in evaluation.precision_recall(scored).orderBy("threshold").collect()[::97]:
+        above = [y for x, y in rows if x >= r["threshold"]]
+        assert r["precision"] == pytest.approx(sum(above) / len(above)) and r["recall"] == pytest.approx(sum(above) / 1000)
+    assert evaluation.precision_recall(scored.limit(0)).count() == 0
+
+
+def test_missing_numbers(spark):
+    """Gaps cost rows by the entries, not by the largest number."""
+    raw = [(1, k, f"[{n}] Smith, J. Some title of a paper. Journal of Plants, 2021.") for k, n in enumerate(("2", "5", "2000000", "99999999999", "123456789012345678901234"), 1)]
+    refs = citations.parse_references(spark.createDataFrame(raw, "doc_id long, position long, raw_text string"))
+    none = citations.mentions(spark.createDataFrame([], "doc_id long, paragraph_index int, text string"))
+    found = citations.issues(none, refs).where("type = 'missing_reference_number'")
+    assert sorted(r["citation"] for r in found.collect()) == sorted(["[1]", "[3]", "[4]", "[6-1999999]", "[2000001-99999999998]"])
+
+
+def test_semantic_and_classifier_matches(spark):
+    """Passages that nothing matches yet are compared by vectors; candidates are scored in order, or a status says why not."""
+    found = overlap.passages(overlap.paragraphs(spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog today.\nAn entirely different sentence about the growth of plants.\nToo short here.")], "doc_id long, text string")))
+    corpus = overlap.corpus_sentences(spark.createDataFrame([(7, "The quick brown fox jumps over the lazy dog today."), (8, "The quick brown fox sleeps under the lazy cat today.")], "item_id long, text string"))
+    lexical = overlap.matches(overlap.alignments(found, corpus))
+    left = report.unmatched(found, lexical)
+    assert [r["paragraph_index"] for r in left.collect()] == [1]
+    vectors = left.withColumn("vector", F.array(F.lit(0.6), F.lit(0.8)))
+    sources = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.6, 0.8]), (9, [0.6, 0.8])], "source_id long, vector array<double>")
+    semantic = report.semantic_matches(vectors, sources)
+    assert [(r["paragraph_index"], r["source_id"], r["similarity"], r["classification"]) for r in semantic.collect()] == [(1, 8, 1.0, "semantic_related")]
+    external = spark.createDataFrame([(1, "x", 0.5)], "doc_id long, source_id string, similarity double")
+    row = report.summary(lexical, semantic, external, overlap.exclusions(found)).first()
+    assert (row["match_count"], row["lexical_match_count"], row["semantic_match_count"], row["external_match_count"], row["source_count"]) == (3, 1, 1, 1, 3)
+    assert row["matched_words"] == 10 and row["suspected_unattributed_words"] == 10
+    names = ("word_overlap", "char_overlap", "tfidf_cosine", "exact_phrase_match")
+    assert report.classifier_scores(found, corpus, None, names) == (None, {"engine": "classifier", "candidate_pair_count": 2, "status": "unavailable", "detail": "no model is given"})
+    pairs = spark.createDataFrame([(f"alpha beta gamma delta {k}", f"alpha beta gamma delta {k}" if k % 2 else f"one two three four {k}", k % 2) for k in range(20)], "source_text string, suspicious_text string, label int")
+    model = evaluation.train(features.extracted(pairs), names)
+    scores, status = report.classifier_scores(found, corpus, model, names)
+    rows = scores.collect()
+    assert status["status"] == "completed" and [r["source_id"] for r in rows] == [7, 8] and rows[0]["positive_score"] >= rows[1]["positive_score"]
+    assert report.classifier_scores(found, corpus, model, ("semantic_cosine",))[1]["status"] == "failed"
+
+
+def test_train_and_evaluate(spark):
+    rows = spark.range(600).select((F.col("id") % 60).alias("leak_group"), (F.col("id") % 2).cast("int").alias("label"), ((F.col("id") % 2) * 0.5 + F.rand(4) * 0.4).alias("word_overlap"), F.rand(5).alias("char_overlap"))
+    model, limit, metrics = evaluation.evaluate(rows, ("word_overlap", "char_overlap"), attempts=50)
+    found = {r["who"]: r for r in metrics.collect()}
+    assert found["model"]["f1"] > 0.95 and 0 < limit < 1 and found["dummy"]["recall"] in (0.0, 1.0) and set(found) == {"model", "lexical", "dummy"}
+
+
+def test_chunks_and_embedding(spark):
+    text = "".join(chr(97 + k % 26) for k in range(40))
+    cut = one(spark, features.chunks(F.col("t"), 15, 5), t=text)
+    assert cut == [text[0:15], text[10:25], text[20:35], text[30:45]] and one(spark, features.chunks(F.col("t"), 15, 5), t="abc") == ["abc"]
+    docs = spark.createDataFrame([(1, "a" * 1400 + "b" * 1400), (2, None), (3, "b")], "id long, text string")
+    found = {r["id"]: r["vector"] for r in features.embedded(docs, "id", "text", lambda texts: [[t.count("a") + 0.0, t.count("b") + 0.0] for t in texts]).collect()}
+    assert set(found) == {1, 3} and found[3] == [0.0, 1.0] and sum(x * x for x in found[1]) == pytest.approx(1.0)
+
+
+def test_exclusions_of_documents_without_text(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved. One two three four."), (2, None), (3, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["scored_words"], r["boilerplate_passages"]) for r in overlap.exclusions(overlap.passages(overlap.paragraphs(docs)), docs).collect()}
+    assert rows == {1: (4, 1), 2: (0, 0), 3: (0, 0)}
+
+
 def test_metrics(spark):
     scored = spark.createDataFrame([(0.9, 1), (0.6, 0), (0.4, 1), (0.1, 0)], "score double, label int")
     row = evaluation.confusion(scored, 0.5).first()
