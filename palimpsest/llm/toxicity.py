@@ -24,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.linear import logistic, sigmoid
+from palimpsest.llm.linear import Sparse, logistic, sigmoid
 from palimpsest.llm.sample import labelled, sampled_texts
 from palimpsest.llm.shared import by_place, decoded, picked, place, restored, sent, texts
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 22
 #: Labelled texts of each class that the classifier is fitted on, at most, and bytes of them.
-SAMPLE, SAMPLE_BYTES = 2048, 6 << 20
+SAMPLE, SAMPLE_BYTES = 2048, 4 << 20
 #: Weight of the squared coefficients.
 PENALTY = 1e-5
 #: Gradient steps of a fit.
-STEPS = 60
+STEPS = 40
 
 
 def points_of(text: bytes) -> np.ndarray:
@@ -85,9 +85,11 @@ class Model:
 
 def ratios(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """The log of the smoothed shares of toxic and of other texts that have each bucket; 0 for buckets of no text."""
-    count = [np.bincount(np.concatenate([f for f, t in zip(features, toxic) if t == k] or [np.zeros(0, np.int32)]), minlength=BUCKETS) for k in (False, True)]
+    count = np.zeros((2, BUCKETS), np.int32)
+    for found, k in zip(features, toxic):
+        count[int(k), found] += 1  # a text has each bucket once
     share = [(count[k] + 1.0) / (int((toxic == bool(k)).sum()) + 2.0) for k in (0, 1)]
-    return np.where(count[0] + count[1] > 0, np.log(share[1] / share[0]), 0.0)
+    return np.where(count.any(0), np.log(share[1] / share[0]), 0.0)
 
 
 def trained(values: list[bytes], label: np.ndarray, weight: dict[int, float], penalty: float = PENALTY, steps: int = STEPS) -> Model:
@@ -95,12 +97,14 @@ def trained(values: list[bytes], label: np.ndarray, weight: dict[int, float], pe
     present = Present()
     features = [present(v) for v in values]
     ratio = ratios(features, label == 1)
-    row, flat = np.repeat(np.arange(len(values), dtype=np.int32), [len(f) for f in features]), np.concatenate(features)
-    known, column = np.unique(flat, return_inverse=True)
-    scale = ratio[known]
-    w, b = logistic(row, column.astype(np.int32), scale.astype(np.float32)[column], label.astype(float), np.where(label == 1, weight[1], weight[0]), len(known), penalty, steps)
+    length, column = np.array([len(f) for f in features]), np.concatenate(features)
+    del features
+    known = np.flatnonzero(np.bincount(column, minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[known] = np.arange(len(known))
+    w, b = logistic(Sparse(length, number[column], len(known), scale=ratio[known]), label.astype(float), np.where(label == 1, weight[1], weight[0]), penalty, steps)
     total = np.zeros(BUCKETS, np.float32)
-    total[known] = w * scale
+    total[known] = w * ratio[known]
     return Model(total, b)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.linear import logistic, sigmoid
+from palimpsest.llm.linear import Sparse, logistic, sigmoid
 from palimpsest.llm.quality_rules import COUNTS, RATIOS, ratios, with_statistics
 from palimpsest.llm.shared import by_place, cut, picked, place, sent, texts
 
@@ -142,16 +142,16 @@ def train(sample: DataFrame, penalty: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights and intercept from ``sample`` (text, target, ``COUNTS``), in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, bucket, value, target, n = [], [], [], [], 0
+        length, bucket, value, target, n = [], [], [], [], 0
         for batch in batches:
             levels = _levels(batch)
             target.append(batch.column(1).to_numpy())
             for k, text in enumerate(texts(batch.column(0))):
                 b, v = features(text, levels[k])
-                row.append(np.full(len(b), n + k, np.int32)), bucket.append(b.astype(np.int32)), value.append(v.astype(np.float32))
+                length.append(len(b)), bucket.append(b.astype(np.int32)), value.append(v.astype(np.float32))
             n += batch.num_rows
         if n:
-            w, b = logistic(np.concatenate(row), np.concatenate(bucket), np.concatenate(value), np.concatenate(target), np.ones(n), BUCKETS, penalty, 100)
+            w, b = logistic(Sparse(np.array(length), np.concatenate(bucket), BUCKETS, np.concatenate(value)), np.concatenate(target), np.ones(n), penalty, 100)
             yield pa.RecordBatch.from_arrays([pa.array([w.tolist()]), pa.array([b])], ["w", "b"])
 
     fitted = sample.select("text", "target", *COUNTS).repartition(1).mapInArrow(run, "w array<double>, b double").first()

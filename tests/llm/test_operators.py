@@ -285,10 +285,18 @@ def test_samples_are_bounded(spark):
     assert quality_rules.fit(stats.drop("text"), sample.smallest(known, 100), sample=50) is not None
 
 
-def test_logistic_separates():
-    row, column = np.array([0, 1, 2, 3]), np.array([0, 0, 1, 1])
-    w, b = linear.logistic(row, column, np.ones(4), np.array([1.0, 1.0, 0.0, 0.0]), np.ones(4), 2, 1e-6)
+def test_logistic_separates(monkeypatch):
+    table = linear.Sparse(np.array([1, 1, 0, 1, 1]), np.array([0, 0, 1, 1]), 2)
+    w, b = linear.logistic(table, np.array([1.0, 1.0, 0.5, 0.0, 0.0]), np.ones(5), 1e-6)
     assert w[0] > 1 and w[1] < -1 and abs(b) < 1
+    rng = np.random.default_rng(1)
+    dense = rng.random((30, 7)) * (rng.random((30, 7)) < 0.3)
+    row, column = np.nonzero(dense)
+    for step in (5, 1 << 21):
+        monkeypatch.setattr(linear, "STEP", step)
+        some = linear.Sparse(np.bincount(row, minlength=30), column, 7, dense[row, column], np.arange(7.0))
+        x, e = rng.random(7), rng.random(30)
+        assert np.allclose(some.forward(x), dense @ (np.arange(7.0) * x)) and np.allclose(some.back(e), np.arange(7.0) * (dense.T @ e))
 
 
 # 5 --------------------------------------------------------------------------------------
