@@ -302,7 +302,8 @@ def read(spark: SparkSession, folder: str, per_task: int = 2000, payloads: bool
         yield batch_of(rows)
 
     index = spark.read.schema(INDEX).json(f"{folder}/*.index.json").select("file", "offset", "length")
-    dealt = index.repartition("file", F.floor(F.col("offset") / (per_task * 4096))).sortWithinPartitions("file", "offset")
+    # An explicit number: the index is small, but what its rows stand for is not, so tasks must not be merged by its bytes.
+    dealt = index.repartition(max(1, -(-index.count() // per_task)), "file", F.floor(F.col("offset") / (per_task * 4096))).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, FIELDS + ", payload binary" * payloads)
 
 
