@@ -35,11 +35,10 @@ ARTICLE_TYPES = {
     ),
 }
 OTHER_NAMES = {
-    "original_research": ("research_article", "research_paper", "journal_article", "transactions_journal_article", "article"),
-    "conference_paper": ("conference", "proceedings"),
-    "review": ("survey", "systematic_review", "literature_review"),
-    "short_communication": ("short_paper", "communication"),
-}
+    "research_article": "original_research", "research_paper": "original_research", "journal_article": "original_research", "transactions_journal_article": "original_research", "article": "original_research",
+    "conference": "conference_paper", "proceedings": "conference_paper", "survey": "review", "systematic_review": "review", "literature_review": "review",
+    "short_paper": "short_communication", "communication": "short_communication",
+}
 DECLARATIONS = {
     "funding": r"\b(funding|funded by|financial support|grant (?:number|no\.?)|this work was supported)\b",
     "author_contributions": r"\b(author contributions?|authors? contribut|cr edit|credit authorship)\b",
@@ -60,8 +59,8 @@ def article_type(value: Column) -> Column:
     """A type's usual name; original research for what is unknown."""
     plain = F.translate(F.lower(F.trim(F.coalesce(value, F.lit("")))), "- ", "__")
     named = F.when(plain.isin(*ARTICLE_TYPES), plain)
-    for name, others in OTHER_NAMES.items():
-        named = named.when(plain.isin(*others), name)
+    for other, name in OTHER_NAMES.items():
+        named = named.when(plain == other, name)
     return named.otherwise("original_research")
 
 

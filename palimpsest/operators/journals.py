@@ -52,7 +52,7 @@ def resolve(config: dict) -> list[dict]:
 
 
 def profiles(spark: SparkSession, config: dict) -> DataFrame:
-    """Resolved profiles as rows: a small dimension table."""
+    """Resolved profiles as rows: a dimension of tens of rows, resolved in the driver."""
     rows = []
     for p in resolve(config):
         words = (p.get("keyword_formatting") or {}) | (p.get("keyword_rules") or {})
@@ -72,8 +72,10 @@ def scope_scores(docs: DataFrame, journals: DataFrame) -> DataFrame:
     """(doc_id, journal_id, scope_score, topics, status) for every manuscript and venue.
 
     A topic counts in a field if the field has it as a phrase, or enough of its words; the
-    best field counts, by its weight.  Topics are matched once for each manuscript and
-    distinct topic, however many venues share it.
+    best field counts, by its weight.  Either way the field has a word of the topic, so
+    manuscripts and distinct topics are joined on words, however many venues share a topic.
+    A row for each manuscript and venue is the result; which sides are broadcast is left to
+    the optimiser, which knows their sizes.
     """
     body = F.array_join(F.transform("sections", lambda s: F.concat_ws(" ", F.coalesce(s["heading"], F.lit("")), F.coalesce(s["content"], F.lit("")))), " ")
     source = {"title": F.col("title"), "abstract": F.col("abstract"), "keywords": F.array_join("keywords", " "), "sections": body, "subject_area": F.col("subject_area")}
@@ -90,10 +92,12 @@ def scope_scores(docs: DataFrame, journals: DataFrame) -> DataFrame:
         phrase = F.rlike(F.col(name), F.concat(F.lit(r"\b\Q"), F.col("topic"), F.lit(r"\E\b")))
         return F.when(phrase, weight).when((F.size("topic_words") == 1) & (shared > 0), weight * 0.8).when((shared >= 2) & (shared / F.size("topic_words") >= 0.67), weight * 0.65).otherwise(0.0)
 
-    topics = F.broadcast(wanted.select("topic", "topic_words").distinct())
-    hits = fields.where(enough).crossJoin(topics).withColumn("strength", F.greatest(*[strength(n, w) for n, w in FIELDS.items()])).where("strength > 0").select("doc_id", "topic", F.least(F.lit(1.0), F.col("strength") / 1.5).alias("strength"))
-    by = hits.join(F.broadcast(wanted.select("journal_id", "topic")), "topic").groupBy("doc_id", "journal_id").agg(F.sum("strength").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("s"), "topic"))).alias("found"))
-    every = fields.select("doc_id", enough.alias("enough")).crossJoin(F.broadcast(journals.select("journal_id"))).join(F.broadcast(size), "journal_id", "left").join(by, ["doc_id", "journal_id"], "left")
+    topics = wanted.select("topic", "topic_words").distinct()
+    words = fields.where(enough).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}_words") for n in FIELDS])))).alias("word"))
+    near = words.join(topics.select("topic", F.explode("topic_words").alias("word")), "word").select("doc_id", "topic").distinct()
+    hits = near.join(topics, "topic").join(fields, "doc_id").withColumn("strength", F.greatest(*[strength(n, w) for n, w in FIELDS.items()])).where("strength > 0").select("doc_id", "topic", F.least(F.lit(1.0), F.col("strength") / 1.5).alias("strength"))
+    by = hits.join(wanted.select("journal_id", "topic"), "topic").groupBy("doc_id", "journal_id").agg(F.sum("strength").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("s"), "topic"))).alias("found"))
+    every = fields.select("doc_id", enough.alias("enough")).crossJoin(journals.select("journal_id")).join(size, "journal_id", "left").join(by, ["doc_id", "journal_id"], "left")
     status = F.when(~F.col("enough"), "insufficient_content").when(F.col("n_topics").isNull(), "scope_unavailable").otherwise("evaluated")
     score = F.when(status == "evaluated", T.half_even(F.coalesce("total", F.lit(0.0)) / F.col("n_topics")))
     return every.select("doc_id", "journal_id", score.alias("scope_score"), F.coalesce(F.transform("found", lambda x: x["topic"]), F.array().cast("array<string>")).alias("topics"), status.alias("match_status"))
@@ -107,7 +111,7 @@ def suitability(docs: DataFrame, journals: DataFrame) -> DataFrame:
     """
     scope = scope_scores(docs, journals)
     slim = docs.select("doc_id", "word_count", "abstract_words", F.size("keywords").alias("n_keywords"), Q.detected().alias("found"), F.lower(F.trim("article_type")).alias("own_type"))
-    rows = scope.join(slim, "doc_id").join(F.broadcast(journals.drop("scope_topics", "scope_aliases")), "journal_id")
+    rows = scope.join(slim, "doc_id").join(journals.drop("scope_topics", "scope_aliases"), "journal_id")
     required = F.coalesce("required_sections", F.array().cast("array<string>"))
     on = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     checks = F.array_compact(F.array(

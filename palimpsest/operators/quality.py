@@ -112,7 +112,8 @@ def with_evidence(rows: DataFrame) -> DataFrame:
     gap, claim, compare = any_of(all_, GAP), any_of(all_, CLAIM), any_of(all_, COMPARISON)
     has_method = (m != "") | all_.rlike(r"\b(method|model|algorithm|approach)\b")
     has_results = (results != "") | all_.rlike(r"\b(results?|accuracy|\d+(?:\.\d+)?%)(?!\w)")
-    checks = {n: method.rlike(p) for n, p in METHOD_CHECKS.items()}
+    rows = rows.withColumn("__checks", F.array(*[F.coalesce(method.rlike(p), F.lit(False)) for p in METHOD_CHECKS.values()]))  # each pattern is matched once
+    checks = {n: F.get("__checks", F.lit(k)) for k, n in enumerate(METHOD_CHECKS)}
     contributions = {
         "problem significance": (F.col("title") != "") & ((F.col("abstract") != "") | (intro != "")),
         "technical novelty framing": any_of(all_, NOVEL),
@@ -136,7 +137,7 @@ def with_evidence(rows: DataFrame) -> DataFrame:
             "word_count": T.blank_words(all_),
             "abstract_words": T.blank_words(F.col("abstract")),
         }
-    ).drop("__all", "__intro", "__m", "__method", "__results")
+    ).drop("__all", "__intro", "__m", "__method", "__results", "__checks")
 
 
 def with_completeness(rows: DataFrame) -> DataFrame:

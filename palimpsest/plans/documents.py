@@ -9,6 +9,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions.arrow import fingerprint
 from palimpsest.operators import citations, compliance, dashboard, duplicates, evaluation, features, journals, overlap, quality, state, structure
 from palimpsest.operators.graph import reliable
+from palimpsest.plans import citation_sql
 from palimpsest.plans.overlap import GROUPS
 from palimpsest.session import table
 
@@ -32,6 +33,7 @@ CITING = (
     (1, 1, "No mention here."),
     (2, 0, "[2] comes first, then [1]. A range [1-999999999999999999999999] is too long."),
     (2, 1, "Jones (2018) and [0-2] and [5-3]."),
+    (3, 0, "Lee (2015) and Nobody (1999) cite [4], [2000000] and [4, 1, 4]."),
 )
 ENTRIES = (
     (1, 1, '[1] Smith, J. and Doe, R. "Overlap in long texts." Journal of Records, 2020. doi:10.1234/abc.1'),
@@ -39,6 +41,9 @@ ENTRIES = (
     (1, 3, "[2] Brown, A. Sorting of pairs at scale. Proceedings of Sorting, 2018."),
     (2, 1, "1. Jones, K. THE STATE OF ALL TEXTS TODAY. 2018. DOI missing"),
     (2, 2, "Short one."),
+    (3, 1, "[1] Lee, P. First study of records. Journal of Records, 2015. doi:10.5555/x.1"),
+    (3, 2, "[4] Lee, Paul. Second study of records. Journal of Records, 2016. doi 10.55/y"),
+    (3, 3, "[2000000] Kim, S. Third study of all records. Journal of Records, 2017. doi:10.5555/X.1"),
 )
 
 
@@ -129,7 +134,7 @@ def _assessed(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _with_profile(rows: DataFrame, venues: DataFrame) -> DataFrame:
-    return rows.drop("article_type").crossJoin(F.broadcast(venues.drop("scope_topics", "scope_aliases")))
+    return rows.drop("article_type").crossJoin(venues.drop("scope_topics", "scope_aliases"))
 
 
 def compliance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,16 +282,17 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as documents, their customers as owners, one supplier of each as a collaborator."""
+    """Orders as documents, their customers as owners, their lines' suppliers as collaborators, the richest customers as admins."""
     documents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("owner_id"))
-    shared = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("document_id"), F.col("l_suppkey").alias("user_id"), F.when(F.col("l_returnflag") == "R", "reviewer").when(F.col("l_returnflag") == "A", "editor").otherwise("viewer").alias("role"), F.when(F.col("l_linestatus") == "F", "accepted").otherwise("pending").alias("status"))
-    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(False).alias("is_admin"))
+    shared = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_suppkey").alias("user_id"), F.when(F.col("l_returnflag") == "R", "reviewer").when(F.col("l_returnflag") == "A", "editor").otherwise("viewer").alias("role"), F.when(F.col("l_linestatus") == "F", "accepted").otherwise("pending").alias("status"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") >= 9000).alias("is_admin"))
     rows = state.accessible(documents, shared, users).withColumn("may_edit", state.capability(F.col("role"), "edit"))
     return rows.groupBy("role", "may_edit").agg(F.count("*").alias("n"))
 
 
 def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = state.with_names(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0"), "o_custkey", "c_custkey", "c_name")
+    """Orders' customers looked up among the suppliers, which have few of their numbers: the others are unknown."""
+    rows = state.with_names(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "supplier"), "o_custkey", "s_suppkey", "s_name")
     return rows.groupBy("name").agg(F.count("*").alias("n"))
 
 
@@ -350,6 +356,10 @@ select cast(doc_id as bigint) doc_id, cast("position" as bigint) "position", cas
   nullif(lower(rtrim(regexp_extract(body, '(?i)10\.\d{{4,9}}/\S+'), '.,;)')), '') doi, nullif(rtrim(regexp_extract(body, 'https?://\S+'), '.,'), '') url,
   nullif(trim(regexp_extract(body, '(?i)\b(IEEE|ACM|Nature|Springer|Elsevier|Wiley|MDPI|Proceedings|Journal|Transactions)[^.]{{0,80}}'), ' .,'), '') venue
 from t""",
+    "citation_issues": f"""
+with {_CITING}, {citation_sql.CITES}, {citation_sql.parsed(_values(ENTRIES))}, {citation_sql.ISSUES}
+select doc_id, category, kind_ as "type", case when kind_ = 'invalid_numeric_citation' then 'high' else case category {" ".join(f"when '{k}' then '{v}'" for k, v in citations.SEVERITY.items())} end end severity, citation, detail from found""",
+    "citation_fixes": f"with {_CITING}, {citation_sql.CITES}, {citation_sql.parsed(_values(ENTRIES))}, {citation_sql.FIXES} select doc_id, kind_ kind, pos \"position\", text from fixed",
     "section_segmentation": rf"""
 with {_LINES},
 s as (select doc_id, k, trim(line, ' ' || chr(9) || chr(13)) t from lines),
@@ -422,9 +432,10 @@ select user_id, event_id, r as "rank" from (select user_id, event_id, row_number
     "access_roles": """
 with a as (
   select o_custkey u, o_orderkey d, 0 o from orders union all
-  select l_suppkey, l_orderkey, case l_returnflag when 'A' then 2 when 'R' then 3 else 4 end from lineitem where l_linenumber = 1 and l_linestatus = 'F'),
+  select l_suppkey, l_orderkey, case l_returnflag when 'A' then 2 when 'R' then 3 else 4 end from lineitem where l_linestatus = 'F' union all
+  select c_custkey, null, 1 from customer where c_acctbal >= 9000),
 r as (select u, d, min(o) o from a group by 1, 2)
-select case o when 0 then 'owner' when 2 then 'editor' when 3 then 'reviewer' else 'viewer' end "role", o <= 2 may_edit, count(*) n from r group by o""",
-    "named_rows": "select coalesce(c_name, 'Unknown') \"name\", count(*) n from orders left join (select * from customer where c_custkey % 7 <> 0) on o_custkey = c_custkey group by 1",
+select case o when 0 then 'owner' when 1 then 'admin' when 2 then 'editor' when 3 then 'reviewer' else 'viewer' end "role", o <= 2 may_edit, count(*) n from r group by o""",
+    "named_rows": "select coalesce(s_name, 'Unknown') \"name\", count(*) n from orders left join supplier on o_custkey = s_suppkey group by 1",
     "json_columns": "select event_type, count(json_extract(props, '$.k')) n, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) total from events group by 1",
 }

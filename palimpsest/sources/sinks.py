@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.state import latest
@@ -11,9 +11,18 @@ from palimpsest.operators.state import latest
 METADATA = ("model_type", "features", "threshold", "trained_at", "train_rows", "validation_f1", "test_f1", "version")
 
 
+#: Folders that rows are dealt out to by a hash, so that a key is found without reading all.
+BUCKETS = 64
+
+
+def bucket(key: str) -> Column:
+    """The folder number of a key."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+
+
 def append_snapshot(rows: DataFrame, path: str, by: str = "document_id") -> None:
-    """Add rows to a history that is never changed, with the time they were added."""
-    rows.withColumn("created_at", F.current_timestamp()).write.mode("append").partitionBy(by).parquet(path)
+    """Add rows to a history that is never changed, with the time they were added; a file for each of ``BUCKETS`` folders at most, however many keys there are."""
+    rows.withColumn("created_at", F.current_timestamp()).withColumn("bucket", bucket(by)).repartition(BUCKETS, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def append_state(rows: DataFrame, path: str) -> None:
@@ -27,8 +36,8 @@ def read_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def write_reports(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """A JSON line for each row, in a folder for each key."""
-    rows.select(F.col(key).alias("key"), F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").partitionBy("key").text(path)
+    """A JSON line for each row, in ``BUCKETS`` folders by a hash of the key."""
+    rows.select(bucket(key).alias("bucket"), F.to_json(F.struct("*")).alias("value")).repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").text(path)
 
 
 def save_model(spark: SparkSession, model: PipelineModel, metadata: dict, path: str) -> None:

@@ -441,6 +441,11 @@ def test_state(spark):
     docs, users = spark.createDataFrame([("d", 1)], "document_id string, owner_id long"), spark.createDataFrame([(1, False), (9, True)], "user_id long, is_admin boolean")
     shared = spark.createDataFrame([("d", 2, "viewer", "accepted"), ("d", 3, "editor", "pending"), ("d", 1, "viewer", "accepted")], "document_id string, user_id long, role string, status string")
     assert {r["user_id"]: r["role"] for r in state.accessible(docs, shared, users).collect()} == {1: "owner", 2: "viewer", 9: "admin"}
+    assert {r["user_id"] for r in state.accessible(docs, shared, users).where(state.may_see(F.lit("d"))).collect()} == {1, 2, 9} and {r["user_id"] for r in state.accessible(docs, shared, users).where(state.may_see(F.lit("e"))).collect()} == {9}
+    log = spark.createDataFrame([(1, 10, None), (1, 11, 5), (2, 12, None)], "user_id long, note_id long, read_at long")
+    assert sorted(tuple(r) for r in state.mark_read(log, "user_id", ["note_id"], F.lit(9)).collect()) == [(1, 10, 9), (2, 12, 9)]
+    versions, wanted = spark.createDataFrame([("d", 1, "old"), ("d", 2, "new"), ("e", 1, "x")], "document_id string, version long, text string"), spark.createDataFrame([("d", 1)], "document_id string, version long")
+    assert [tuple(r) for r in state.restored(versions, "document_id", "version", wanted).select("document_id", "version", "text").collect()] == [("d", 3, "old")]
     assert [r["item_id"] for r in state.numbered(spark.range(2), [], ["id"], "SUG-").collect()] == ["SUG-001", "SUG-002"]
 
 
