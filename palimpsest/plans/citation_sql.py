@@ -10,11 +10,11 @@ def n_words(c: str) -> str:
     return rf"len(regexp_extract_all({c}, '\S+'))"
 
 
-def parsed(values: str) -> str:
-    """refs: the fields of entries given as rows of doc_id, position and text."""
+def parsed(source: str) -> str:
+    """refs: the fields of entries, from a query of doc_id, position and text."""
     return rf"""
-e(doc_id, pos, raw0) as (values {values}),
-t as (select cast(doc_id as bigint) doc_id, cast(pos as bigint) pos, trim(raw0) raw, regexp_extract(trim(raw0), '^\[?(\d+)\]?\.?\s*(.+)', 1) n, case when regexp_matches(trim(raw0), '^\[?(\d+)\]?\.?\s*(.+)') then regexp_extract(trim(raw0), '^\[?(\d+)\]?\.?\s*(.+)', 2) else trim(raw0) end body from e),
+e(doc_id, pos, raw0) as ({source}),
+t as (select doc_id, cast(pos as bigint) pos, trim(raw0) raw, regexp_extract(trim(raw0), '^\[?(\d+)\]?\.?\s*(.+)', 1) n, case when regexp_matches(trim(raw0), '^\[?(\d+)\]?\.?\s*(.+)') then regexp_extract(trim(raw0), '^\[?(\d+)\]?\.?\s*(.+)', 2) else trim(raw0) end body from e),
 h as (
   select *, case when n <> '' then n else cast(pos as varchar) end id, regexp_split_to_array(body, '\.\s+|\s+\((?:19|20)\d{{2}}')[1] head, regexp_extract(body, '[“"](.+?)[”"]', 1) quoted,
     regexp_replace(body, '(?i)https?://\S+|doi:\s*\S+|10\.\d{{4,9}}/\S+', '', 'g') rest, regexp_extract(body, '\b((?:19|20)\d{{2}}[a-z]?)\b', 1) yr,
@@ -32,17 +32,26 @@ refs as (
   from q)"""
 
 
+#: each: mentions in ``paras`` (doc_id, paragraph_index, text).
+MENTIONS = r"""
+each as (
+  select doc_id, paragraph_index, unnest(regexp_extract_all(text, '\[\d+(?:\s*[-,]\s*\d+)*\]|\b[A-Z][A-Za-z-]+(?:\s+et al\.)?\s*\(\d{4}[a-z]?\)')) m,
+    generate_subscripts(regexp_extract_all(text, '\[\d+(?:\s*[-,]\s*\d+)*\]|\b[A-Z][A-Za-z-]+(?:\s+et al\.)?\s*\(\d{4}[a-z]?\)'), 1) k from paras)"""
 #: cites: mentions in order, with the numbers that they name.
 CITES = rf"""
 told as (
-  select row_number() over (partition by doc_id order by paragraph_index, k) spot, cast(doc_id as bigint) doc_id, m as text, case when starts_with(m, '[') then 'numeric' else 'author_year' end kind,
+  select row_number() over (partition by doc_id order by paragraph_index, k) spot, doc_id, m as text, case when starts_with(m, '[') then 'numeric' else 'author_year' end kind,
     case when starts_with(m, '[') then string_split(regexp_replace(m, '[\[\]\s]', '', 'g'), ',') else [] end parts from each),
 bounds as (select *, list_transform(parts, lambda x: try_cast(string_split(x, '-')[1] as bigint)) lo, list_transform(parts, lambda x: try_cast(string_split(x, '-')[-1] as bigint)) hi from told),
 cites as (
   select spot, doc_id, text, kind, case when kind = 'numeric' and list_bool_and(list_transform(range(1, len(lo) + 1), lambda i: coalesce(lo[i] >= 1 and hi[i] >= lo[i] and hi[i] - lo[i] <= 999, false)))
     then list_transform(flatten(list_transform(range(1, len(lo) + 1), lambda i: range(lo[i], hi[i] + 1))), lambda x: cast(x as varchar)) else [] end ids from bounds)"""
-#: found: a row for each issue.
-ISSUES = rf"""
+
+
+def issues(style: str) -> str:
+    """found: a row for each issue, where a venue expects ``style`` (numeric or author-year)."""
+    wrong, strict = ("numeric", "true") if style == "author-year" else ("author_year", "false")
+    return rf"""
 people_ as (select *, {names(r"regexp_replace(regexp_replace(text, '\(\s*(?:19|20)\d{2}[a-z]?\s*\)', '', 'g'), '\b(?:19|20)\d{2}[a-z]?\b', '', 'g')", 'et', 'al')} who, regexp_extract(text, '\b((?:19|20)\d{{2}}[a-z]?)\b', 1) yr from cites where kind = 'author_year' and len(ids) = 0),
 met as (
   select c.spot, c.doc_id, c.text, c.yr, list(distinct r.id) filter (c.yr <> '' and r.yr = c.yr) resolved, list_sort(list(distinct r.yr) filter (r.yr <> '')) yrs
@@ -66,7 +75,7 @@ found as (
   select doc_id, 'duplicate_citation_numbers', 'duplicate_citation_number', text, id from ids group by doc_id, spot, text, id having count(*) > 1 union all
   select doc_id, 'missing_references', 'missing_reference', text, id from ids i where not exists (select 1 from refs r where r.doc_id = i.doc_id and r.id = i.id) union all
   select doc_id, 'uncited_references', 'uncited_reference', id, null from refs r where id <> '' and not exists (select 1 from ids i where r.doc_id = i.doc_id and r.id = i.id) union all
-  select doc_id, 'style_mismatches', 'citation_style_mismatch', text, null from cites where kind = 'numeric' union all
+  select doc_id, 'style_mismatches', 'citation_style_mismatch', text, null from cites where kind = '{wrong}' union all
   select doc_id, 'duplicate_reference_numbers', 'duplicate_reference_number', id, null from refs where id <> '' group by doc_id, id having count(*) > 1 union all
   select doc_id, 'duplicate_references', 'duplicate_reference', string_agg(id, ', ' order by pos), rkey from refs where rkey is not null group by doc_id, rkey having count(*) > 1 union all
   select doc_id, 'numbering_issues', 'missing_reference_number', '[' || unnest(case when high - low < 999 then list_transform(range(low, high + 1), lambda x: cast(x as varchar)) else [low || '-' || high] end) || ']', null from holes where low <= high union all
@@ -75,11 +84,13 @@ found as (
   select doc_id, 'malformed_references', 'malformed_reference', id, null from refs where len(raw) < 15 or {n_words('raw')} < 4 or len(names) = 0 or title = '' or (yr = '' and doi = '') union all
   select doc_id, 'invalid_dois', 'invalid_doi', id, null from refs where regexp_matches(raw, '(?i)\bdoi\b|doi\.org') and not regexp_matches(raw, '(?i)10\.\d{{4,9}}/\S+') union all
   select doc_id, 'missing_dois', 'doi_review', id, null from refs where (venue <> '' or regexp_matches(raw, '(?i)\b(journal|transactions|proceedings|vol\.?|volume)\b')) and doi = '' union all
-  select doc_id, 'references_wrong_order', 'author_year_reference_order', null, null from ordered where o <> list_sort(o) union all
-  select doc_id, 'invalid_structure', 'invalid_reference_structure', id, array_to_string(gap, ', ') from gaps_ where len(gap) > 0 union all
-  select doc_id, 'inconsistent_title_formatting', 'inconsistent_title_formatting', id, null from refs where upper(title) = title and lower(title) <> title and {n_words('title')} > 4 union all
+  select doc_id, 'references_wrong_order', 'author_year_reference_order', null, null from ordered where o <> list_sort(o) and {strict} union all
+  select doc_id, 'invalid_structure', 'invalid_reference_structure', id, array_to_string(gap, ', ') from gaps_ where len(gap) > 0 and {strict} union all
+  select doc_id, 'inconsistent_title_formatting', 'inconsistent_title_formatting', id, null from refs where upper(title) = title and lower(title) <> title and {n_words('title')} > 4 and {strict} union all
   select doc_id, 'inconsistent_authors', 'inconsistent_author_names', family, array_to_string(list_sort(list(distinct first_)), ', ') from families where family <> '' group by doc_id, family having count(distinct first_) > 1 union all
   select doc_id, 'inconsistent_years', 'inconsistent_year', rkey, array_to_string(list_sort(list(distinct yr)), ', ') from refs where starts_with(rkey, 'title:') and yr <> '' group by doc_id, rkey having count(distinct yr) > 1)"""
+
+
 #: fixed: citations and entries with duplicates merged and numbers closed up.
 FIXES = r"""
 fx as (

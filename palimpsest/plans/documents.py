@@ -9,7 +9,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions.arrow import fingerprint
 from palimpsest.operators import citations, compliance, dashboard, duplicates, evaluation, features, journals, overlap, quality, state, structure
 from palimpsest.operators.graph import reliable
-from palimpsest.plans import citation_sql
+from palimpsest.plans import citation_sql, manuscript_sql
 from palimpsest.plans.overlap import GROUPS
 from palimpsest.session import table
 
@@ -320,9 +320,7 @@ _quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else s
 _values = lambda rows: ", ".join(f"({', '.join(map(_quote, r))})" for r in rows)
 _CITING = rf"""
 paras(doc_id, paragraph_index, text) as (values {_values(CITING)}),
-each as (
-  select doc_id, paragraph_index, unnest(regexp_extract_all(text, '\[\d+(?:\s*[-,]\s*\d+)*\]|\b[A-Z][A-Za-z-]+(?:\s+et al\.)?\s*\(\d{{4}}[a-z]?\)')) m,
-    generate_subscripts(regexp_extract_all(text, '\[\d+(?:\s*[-,]\s*\d+)*\]|\b[A-Z][A-Za-z-]+(?:\s+et al\.)?\s*\(\d{{4}}[a-z]?\)'), 1) k from paras)"""
+{citation_sql.MENTIONS}"""
 _SCORED = "scored as (select doc_id, least(1.0::double, n_chars / 4000.0::double) s, quality l from documents join labels using (doc_id))"
 _CELLS = "count(*) filter (s >= t and l = 1) tp, count(*) filter (s >= t and l <> 1) fp, count(*) filter (s < t and l = 1) fn, count(*) filter (s < t and l <> 1) tn"
 _LINES = "lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 k from documents)"
@@ -357,9 +355,12 @@ select cast(doc_id as bigint) doc_id, cast("position" as bigint) "position", cas
   nullif(trim(regexp_extract(body, '(?i)\b(IEEE|ACM|Nature|Springer|Elsevier|Wiley|MDPI|Proceedings|Journal|Transactions)[^.]{{0,80}}'), ' .,'), '') venue
 from t""",
     "citation_issues": f"""
-with {_CITING}, {citation_sql.CITES}, {citation_sql.parsed(_values(ENTRIES))}, {citation_sql.ISSUES}
-select doc_id, category, kind_ as "type", case when kind_ = 'invalid_numeric_citation' then 'high' else case category {" ".join(f"when '{k}' then '{v}'" for k, v in citations.SEVERITY.items())} end end severity, citation, detail from found""",
-    "citation_fixes": f"with {_CITING}, {citation_sql.CITES}, {citation_sql.parsed(_values(ENTRIES))}, {citation_sql.FIXES} select doc_id, kind_ kind, pos \"position\", text from fixed",
+with {_CITING}, {citation_sql.CITES}, {citation_sql.parsed('values ' + _values(ENTRIES))}, {citation_sql.issues('author-year')}
+select cast(doc_id as bigint) doc_id, category, kind_ as "type", case when kind_ = 'invalid_numeric_citation' then 'high' else case category {" ".join(f"when '{k}' then '{v}'" for k, v in citations.SEVERITY.items())} end end severity, citation, detail from found""",
+    "citation_fixes": f"with {_CITING}, {citation_sql.CITES}, {citation_sql.parsed('values ' + _values(ENTRIES))}, {citation_sql.FIXES} select cast(doc_id as bigint) doc_id, kind_ kind, pos \"position\", text from fixed",
+    "compliance_rules": f"with {manuscript_sql.compliance_rules(MANUSCRIPTS, PROFILES)} select * from ruled",
+    "compliance_score": f"with {manuscript_sql.compliance_rules(MANUSCRIPTS, PROFILES)}, {manuscript_sql.SCORE}",
+    "journal_ranking": manuscript_sql.journal_ranking(MANUSCRIPTS, PROFILES),
     "section_segmentation": rf"""
 with {_LINES},
 s as (select doc_id, k, trim(line, ' ' || chr(9) || chr(13)) t from lines),

@@ -113,8 +113,10 @@ def lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and near phrases of matched pairs; their words are read from the original text by the offsets found."""
     rows = features.exact_phrases(_pairs(spark, sf_dir), least=3, threshold=0.6).select("doc_id", "paragraph_index", "sentence_index", "source_id", "source_sentence", F.explode("phrases").alias("p"))
-    return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph_index", "sentence_index")], "source_id", F.col("source_sentence").cast("long").alias("source_sentence"), "p.source_start", "p.suspicious_start", "p.matched_text", "p.matched_tokens", "p.score")
+    phrase = F.array_join(T.words(F.col("p.matched_text")), " ")
+    return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph_index", "sentence_index")], "source_id", F.col("source_sentence").cast("long").alias("source_sentence"), phrase.alias("phrase"), F.col("p.matched_tokens").cast("long").alias("matched_tokens"), "p.score")
 
 
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +297,11 @@ from (select *, min(doc_id) over (partition by coalesce(text, '')) first_ from d
     "near_duplicates": f"with {_SHINGLED.replace('LEAST_WORDS', '1')} select a doc_id, min(b) near_duplicate_of from jac group by 1",
     "duplicate_groups": f"with recursive {GROUPS} select * from groups",
     "lexical_features": f"with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL} select * from lexical",
+    "exact_phrases": f"""
+with recursive {PASSAGES}, {ALIGNED}
+select doc_id, cast(paragraph_index as bigint) paragraph_index, cast(sentence_index as bigint) sentence_index, source_id, cast(source_sentence as bigint) source_sentence,
+  array_to_string(a[mi + 1 : mi + bk.k], ' ') phrase, cast(bk.k as bigint) matched_tokens, round_even(bk.k / least(len(a), len(b)), 4) score
+from aligned join blocks bk using (pid) where bk.k >= 3 and bk.k >= 0.6 * least(len(a), len(b))""",
     "weighted_score": f"""
 with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL},
 phrase as (
