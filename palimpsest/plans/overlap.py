@@ -112,10 +112,13 @@ def lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph_index", "sentence_index")], "source_id", F.col("source_sentence").cast("long").alias("source_sentence"), "word_overlap", "char_overlap", "distinctive_phrase_ratio", "passage_length_ratio")
 
 
+UNICODE_WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+
+
 def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact and near phrases of matched pairs; their words are read from the original text by the offsets found."""
     rows = features.exact_phrases(_pairs(spark, sf_dir), least=3, threshold=0.6).select("doc_id", "paragraph_index", "sentence_index", "source_id", "source_sentence", F.explode("phrases").alias("p"))
-    phrase = F.array_join(T.words(F.col("p.matched_text")), " ")
+    phrase = F.array_join(F.regexp_extract_all(F.lower("p.matched_text"), F.lit(UNICODE_WORD), F.lit(0)), " ")
     return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph_index", "sentence_index")], "source_id", F.col("source_sentence").cast("long").alias("source_sentence"), phrase.alias("phrase"), F.col("p.matched_tokens").cast("long").alias("matched_tokens"), "p.score")
 
 
@@ -297,11 +300,16 @@ from (select *, min(doc_id) over (partition by coalesce(text, '')) first_ from d
     "near_duplicates": f"with {_SHINGLED.replace('LEAST_WORDS', '1')} select a doc_id, min(b) near_duplicate_of from jac group by 1",
     "duplicate_groups": f"with recursive {GROUPS} select * from groups",
     "lexical_features": f"with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL} select * from lexical",
-    "exact_phrases": f"""
-with recursive {PASSAGES}, {ALIGNED}
-select doc_id, cast(paragraph_index as bigint) paragraph_index, cast(sentence_index as bigint) sentence_index, source_id, cast(source_sentence as bigint) source_sentence,
-  array_to_string(a[mi + 1 : mi + bk.k], ' ') phrase, cast(bk.k as bigint) matched_tokens, round_even(bk.k / least(len(a), len(b)), 4) score
-from aligned join blocks bk using (pid) where bk.k >= 3 and bk.k >= 0.6 * least(len(a), len(b))""",
+    "exact_phrases": rf"""
+with recursive {PASSAGES}, {ALIGNED},
+uni as (
+  select pid, a.doc_id, a.paragraph_index, a.sentence_index, a.source_id, a.source_sentence, regexp_extract_all(lower(c.text), '{UNICODE_WORD.replace("'", "''")}') x, regexp_extract_all(lower(p.text), '{UNICODE_WORD.replace("'", "''")}') y
+  from aligned a join passages p using (doc_id, paragraph_index, sentence_index) join corpus c using (source_id, source_sentence)),
+same as (select u.pid, u.i, v.j from (select pid, unnest(x) w, generate_subscripts(x, 1) i from uni) u join (select pid, unnest(y) w, generate_subscripts(y, 1) j from uni) v on u.pid = v.pid and u.w = v.w),
+runs as (select pid, min(i) s, count(*) k from (select pid, i, j, i - row_number() over (partition by pid, i - j order by i) g from same) group by pid, i - j, g)
+select distinct doc_id, cast(paragraph_index as bigint) paragraph_index, cast(sentence_index as bigint) sentence_index, source_id, cast(source_sentence as bigint) source_sentence,
+  array_to_string(x[s : s + k - 1], ' ') phrase, cast(k as bigint) matched_tokens, round_even(k / least(len(x), len(y)), 4) score
+from uni join runs using (pid) where k >= 3 and k >= 0.6 * least(len(x), len(y))""",
     "weighted_score": f"""
 with recursive {PASSAGES}, {ALIGNED}, {_LEXICAL},
 phrase as (
