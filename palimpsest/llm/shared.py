@@ -91,7 +91,7 @@ BUCKETS = 1 << 20
 def hashed_counts(column: DataFrame, keys: Callable[[bytes], Iterator[np.ndarray]]) -> np.ndarray:
     """How many keys of all texts (the one column) fall in each of ``BUCKETS`` buckets; ``keys``: of a text, as 64-bit numbers.
 
-    A task sends its counts in 64 parts, which are added up apart.
+    A task sends its counts in 64 parts, which are added up apart; counts end at 2^31 - 1.
     """
     chunk = BUCKETS >> 6
     kinds = "chunk int, counts binary"
@@ -103,20 +103,21 @@ def hashed_counts(column: DataFrame, keys: Callable[[bytes], Iterator[np.ndarray
                 for some in keys(text):
                     np.add.at(total, bucket(some), 1)
         if total.any():
-            parts = [x.tobytes() for x in total.reshape(-1, chunk)]
+            parts = [x.tobytes() for x in total.astype(np.int32).reshape(-1, chunk)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+                total[k] = total.get(k, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+        most = np.iinfo(np.int32).max
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, most).astype(np.int32).tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
     rows = column.mapInArrow(count, kinds).repartition("chunk").mapInArrow(add, kinds).toArrow()
-    total = np.zeros((BUCKETS // chunk, chunk), np.int64)
+    total = np.zeros((BUCKETS // chunk, chunk), np.int32)
     for k, counts in zip(*(rows.column(c).to_pylist() for c in ("chunk", "counts"))):
-        total[k] = np.frombuffer(counts, np.int64)
+        total[k] = np.frombuffer(counts, np.int32)
     return total.ravel()
 
 

@@ -29,13 +29,14 @@ from palimpsest.llm.sample import labelled, sampled_texts
 from palimpsest.llm.shared import by_place, decoded, picked, place, restored, sent, texts
 
 ORDERS = (3, 4, 5, 6)
-BUCKETS = 1 << 22
+BITS = 20
+BUCKETS = 1 << BITS
 #: Labelled texts of each class that the classifier is fitted on, at most, and bytes of them.
 SAMPLE, SAMPLE_BYTES = 2048, 4 << 20
 #: Weight of the squared coefficients.
 PENALTY = 1e-5
 #: Gradient steps of a fit.
-STEPS = 40
+STEPS = 60
 
 
 def points_of(text: bytes) -> np.ndarray:
@@ -55,7 +56,7 @@ def grams(text: bytes) -> Iterator[np.ndarray]:
         total = (total[:size] + points[n - 1 :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(31)
         if n in ORDERS:
-            yield ((total * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n)) >> np.uint64(42)).astype(np.int32)
+            yield ((total * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 class Present:

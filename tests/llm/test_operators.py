@@ -248,7 +248,7 @@ def test_toxicity_against_brute_force():
         for k, c in enumerate(g):
             total = ((total + ord(c) + 1) * 0x9E3779B97F4A7C15) % 2**64
             total ^= total >> 31
-        return [((total * (0xC2B2AE3D27D4EB4F + 2 * len(g))) % 2**64) >> 42]
+        return [((total * (0xC2B2AE3D27D4EB4F + 2 * len(g))) % 2**64) >> (64 - toxicity.BITS)]
 
     sets = [{bucket(g) for g in grams(v)} for v in values]
     present = toxicity.Present()
