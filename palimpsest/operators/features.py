@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.arrow import aligned_blocks, nfkc, offset_tokens
 from palimpsest.operators.blocks import against
+from palimpsest.operators.graph import reliable
 
 NAMES = ("exact_phrase_match", "word_overlap", "char_overlap", "tfidf_cosine", "semantic_cosine", "distinctive_phrase_ratio", "passage_length_ratio", "citation_context_indicator")
 #: How the features add up, and from where on a pair is suspicious.
@@ -106,8 +107,9 @@ def extracted(pairs: DataFrame, a: str = "source_text", b: str = "suspicious_tex
     The lexical block, exact_phrase_match (1 where a phrase of ``exact_phrases`` is found),
     tfidf_cosine (fitted on the distinct texts of the pairs, or on column ``text`` of
     ``fitted_on``) and citation_context_indicator (whether the suspicious text has a citation).
+    ``pairs`` are computed once and kept, since every feature reads them.
     """
-    keyed = pairs.withColumns({"__x": F.xxhash64(a, F.lit(0)), "__y": F.xxhash64(b, F.lit(0))})
+    keyed = reliable(pairs.withColumns({"__x": F.xxhash64(a, F.lit(0)), "__y": F.xxhash64(b, F.lit(0))}))
     texts = keyed.select(F.col("__x").alias("id"), F.col(a).alias("text")).unionAll(keyed.select(F.col("__y").alias("id"), F.col(b).alias("text"))).dropDuplicates(["id"])
     vectors = tfidf(texts, "id", "text", fitted_on, most=None)
     cosine = tfidf_cosine(keyed.select(F.col("__x").alias("a"), F.col("__y").alias("b")).distinct(), vectors, vectors).withColumnsRenamed({"a": "__x", "b": "__y"})

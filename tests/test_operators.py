@@ -537,3 +537,36 @@ def test_streaming_scan(spark, tmp_path):
     query.awaitTermination(120)
     found = spark.read.parquet(f"{tmp_path}/out")
     assert found.count() == 1 and found.first()["method"] == "exact"
+
+
+# one pass over large inputs
+
+
+def counted(spark, pairs, column):
+    """``pairs``, and how often a value of ``column`` has been computed."""
+    times = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        times.add(1)
+        return value
+
+    return pairs.withColumn(column, F.udf(seen)(column)), times
+
+
+def test_aligned_in_blocks(spark):
+    source = "The quick brown fox jumps over the lazy dog near the old river bank."
+    lines = [source, f"Intro words stand here. {source} And more follows", f"No. boundary before {source}", "the the the the the the the the the the", "fox. dog. river. bank. The quick. Brown fox. jumps over.", "", source.upper() + "\x01" + source, "plain words about other things that never occur in any source at all", "The quick brown fox jumps over a lazy cat near the old stone bank."]
+    paras = spark.createDataFrame([(1, k, line) for k, line in enumerate(lines)] + [(2, 0, None)], "doc_id long, paragraph_index int, text string")
+    corpus = overlap.corpus_sentences(spark.createDataFrame([(1, source), (2, "Wholly different sentences are kept here so that there are several blocks."), (3, None)], "item_id long, text string"))
+    slim = lambda rows: sorted(map(tuple, rows.select("doc_id", "paragraph_index", "sentence_index", "source_id", "matched", "ratio", "char_start").collect()))
+    whole = slim(overlap.alignments(overlap.passages(paras).where("kind = 'scored'"), corpus))
+    assert len(whole) >= 4
+    assert whole == slim(overlap.aligned(paras, corpus)) == slim(overlap.aligned(paras, corpus, 4))
+    kept = overlap.likely_paragraphs(paras, [r[0] for r in corpus.select("source_tokens").collect()])
+    assert {r["paragraph_index"] for r in kept.collect()} == {r[1] for r in whole}
+
+
+def test_features_compute_pairs_once(spark):
+    pairs, times = counted(spark, spark.createDataFrame([("one two three four", "one two three five"), ("a b c d e", "a b c d f")], "source_text string, suspicious_text string"), "suspicious_text")
+    assert features.extracted(pairs).count() == 2
+    assert len(features.extracted(pairs).collect()) == 2 and times.value == 4
