@@ -107,15 +107,18 @@ def extracted(pairs: DataFrame, a: str = "source_text", b: str = "suspicious_tex
     The lexical block, exact_phrase_match (1 where a phrase of ``exact_phrases`` is found),
     tfidf_cosine (fitted on the distinct texts of the pairs, or on column ``text`` of
     ``fitted_on``) and citation_context_indicator (whether the suspicious text has a citation).
-    ``pairs`` are computed once and kept, since every feature reads them.
+    ``pairs`` are computed once and kept, since every feature reads them; pairs of equal texts
+    get theirs together.
     """
     keyed = reliable(pairs.withColumns({"__x": F.xxhash64(a, F.lit(0)), "__y": F.xxhash64(b, F.lit(0))}))
-    texts = keyed.select(F.col("__x").alias("id"), F.col(a).alias("text")).unionAll(keyed.select(F.col("__y").alias("id"), F.col(b).alias("text"))).dropDuplicates(["id"])
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes take long here, so partitions must not be joined by their size
+    alike = reliable(keyed.select("__x", "__y", a, b).dropDuplicates(["__x", "__y"]).repartition(tasks, "__x", "__y"))
+    texts = alike.select(F.col("__x").alias("id"), F.col(a).alias("text")).unionAll(alike.select(F.col("__y").alias("id"), F.col(b).alias("text"))).dropDuplicates(["id"])
     vectors = tfidf(texts, "id", "text", fitted_on, most=None)
-    cosine = tfidf_cosine(keyed.select(F.col("__x").alias("a"), F.col("__y").alias("b")).distinct(), vectors, vectors).withColumnsRenamed({"a": "__x", "b": "__y"})
-    rows = exact_phrases(lexical(keyed, a, b), a, b, least, threshold)
-    rows = rows.withColumns({"exact_phrase_match": (F.size("phrases") > 0).cast("double"), "citation_context_indicator": T.has_citation(F.col(b)).cast("int")}).drop("phrases")
-    return rows.join(cosine, ["__x", "__y"]).drop("__x", "__y")
+    cosine = tfidf_cosine(alike.select(F.col("__x").alias("a"), F.col("__y").alias("b")), vectors, vectors).withColumnsRenamed({"a": "__x", "b": "__y"})
+    rows = exact_phrases(lexical(alike, a, b), a, b, least, threshold)
+    rows = rows.withColumns({"exact_phrase_match": (F.size("phrases") > 0).cast("double"), "citation_context_indicator": T.has_citation(F.col(b)).cast("int")}).drop("phrases", a, b)
+    return keyed.join(rows.join(cosine, ["__x", "__y"]), ["__x", "__y"]).drop("__x", "__y")
 
 
 def chunks(value: Column, size: int = 1500, shared: int = 150) -> Column:

@@ -570,3 +570,18 @@ def test_features_compute_pairs_once(spark):
     pairs, times = counted(spark, spark.createDataFrame([("one two three four", "one two three five"), ("a b c d e", "a b c d f")], "source_text string, suspicious_text string"), "suspicious_text")
     assert features.extracted(pairs).count() == 2
     assert len(features.extracted(pairs).collect()) == 2 and times.value == 4
+
+
+def test_features_of_equal_pairs_are_computed_once(spark, monkeypatch):
+    times = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        times.add(1)
+        return value
+
+    lexical = features.lexical
+    monkeypatch.setattr(features, "lexical", lambda pairs, a, b: lexical(pairs.withColumn(a, F.udf(seen)(a)), a, b))
+    pairs = spark.createDataFrame([(k, "one two three four", "one two three five") for k in range(20)] + [(20, None, "other")], "k long, source_text string, suspicious_text string")
+    rows = features.extracted(pairs).collect()
+    assert len(rows) == 21 and {r["word_overlap"] for r in rows if r["k"] < 20} == {0.5556} and {r["source_text"] for r in rows if r["k"] == 20} == {None}
+    assert times.value <= 6
